@@ -161,10 +161,9 @@ def weighted_fusion(sparse: DataFrame, dense: DataFrame, m: int, k: int = RRF_K,
     sparse(query_id, item_id, score) is the whole list; dense(query_id, item_id, rank) must be at least
     `dense_pool(m)` deep. Sparse ranks of the dense items are counted exactly, however deep they are.
     """
-    best = rank_hits(sparse, m).select("query_id", "item_id", "score")
+    best = rank_hits(sparse, m).select("query_id", "item_id", F.col("rank").cast("bigint").alias("sr"))
     deep = sparse.join(dense.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
-    pool = best.unionByName(deep.select(*best.columns)).distinct()
-    sr = exact_ranks(sparse, pool).withColumnRenamed("rank", "sr")
+    sr = best.unionByName(exact_ranks(sparse, deep).withColumnRenamed("rank", "sr"))
     dr = dense.select("query_id", "item_id", F.col("rank").alias("dr"))
     has_dense = dr.select("query_id").distinct().withColumn("has_dense", F.lit(True))
     both = (sr.unionByName(dr, allowMissingColumns=True)
