@@ -260,3 +260,9 @@ def token_windows(c: Column, size: int = 600, overlap: int = 100, token: str | N
         F.least(F.lit(size), n - s).alias("n_tokens"),
         F.array_join(F.slice(tokens, s + 1, F.lit(size)), "").alias("text"),
     ))
+
+
+def window_count(c: Column, size: int = 600, overlap: int = 100, token: str | None = None) -> Column:
+    """How many windows `token_windows` gives, without building them."""
+    n = F.regexp_count(c, F.lit(token or f"{NOT_BLANK}+{BLANK}*|^{BLANK}+"))
+    return F.ceil(n / (size - overlap))
