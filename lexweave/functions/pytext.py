@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 # Edge marks, clause marks and lengths of the segmentation and diff rules.
@@ -89,8 +90,54 @@ def similarity(a: str, b: str) -> float:
     return common / (len(a) + len(b) - common)
 
 
-_SEG = "array<struct<offset:int,text:string>>"
-_SPAN = "array<struct<start:int,end:int,span_original:string,span_corrected:string>>"
+def pick_lines(rows: list[str], texts: list[str]) -> list[str | None]:
+    """The row of each text: contained either way first, then the most similar above 0.3; each row once."""
+    taken: dict[int, str] = {}
+    late = []
+    bare = [strip_edge(t) for t in texts]
+    for row in rows:
+        a = strip_edge(row)
+        hit = next((j for j, b in enumerate(bare) if j not in taken and (b in a or a in b)), None)
+        if hit is None:
+            late.append(row)
+        else:
+            taken[hit] = row
+    for row in late:
+        best, j = max(((similarity(row, t), -j) for j, t in enumerate(texts) if j not in taken), default=(0.0, 0))
+        if best > 0.3:
+            taken[-j] = row
+    return [taken.get(j) for j in range(len(texts))]
+
+
+def pick_originals(originals: list[str], corrected: list[str], texts: list[str]) -> list[str | None]:
+    """The known text each result belongs to, None where there is none."""
+    out: list[str | None] = []
+    for org, cor in zip(originals, corrected):
+        pick = None
+        if org and org in texts:
+            pick = org
+        elif org:
+            best, j = max(((similarity(org, t), -j) for j, t in enumerate(texts)), default=(0.0, 0))
+            pick = texts[-j] if best > 0.5 else None
+        else:
+            a, best = cor.strip(" \t\n\r"), 0.3
+            for t in (t for t in texts if t not in out):
+                b = t.strip(" \t\n\r")
+                if b in a or a in b:
+                    pick = t
+                    break
+                score = similarity(a, b)
+                if score > best:
+                    best, pick = score, t
+        out.append(pick)
+    return out
+
+
+# Type objects, not DDL: the module can be imported before a session exists.
+_SPAN_ROW = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                          T.StructField("span_original", T.StringType()), T.StructField("span_corrected", T.StringType())])
+_SEG = T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("text", T.StringType())]))
+_SPAN = T.ArrayType(_SPAN_ROW)
 
 
 @F.pandas_udf(_SEG)
@@ -104,12 +151,22 @@ def diff_udf(original: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, s)) for s in diff_spans(a, b)] for a, b in zip(original, corrected)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def align_udf(rows: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([pick_lines(list(r), list(t)) for r, t in zip(rows, texts)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def match_udf(originals: pd.Series, corrected: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([pick_originals(list(o), list(c), list(t)) for o, c, t in zip(originals, corrected, texts)])
+
+
+@F.pandas_udf(T.DoubleType())
 def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)])
 
 
-@udtf(returnType="seg_offset: int, seg_text: string")
+@udtf(returnType=T.StructType([T.StructField("seg_offset", T.IntegerType()), T.StructField("seg_text", T.StringType())]))
 class Segments:
     """Table function: segments of one text."""
 
@@ -118,7 +175,7 @@ class Segments:
             yield from sub_segments(text)
 
 
-@udtf(returnType="start: int, end: int, span_original: string, span_corrected: string")
+@udtf(returnType=_SPAN_ROW)
 class DiffSpans:
     """Table function: changed stretches between two texts."""
 
@@ -150,6 +207,6 @@ def sanitize(text: str) -> str:
     return _CONTROL.sub("", re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_udf(texts: pd.Series) -> pd.Series:
     return texts.map(sanitize, na_action="ignore")

@@ -6,14 +6,16 @@ and the order-dependent ones are first split into independent islands or batches
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
-from lexweave.functions.pytext import diff_udf, similarity, strip_edge, sub_segments_udf
-from lexweave.scale import running
+from lexweave.functions.pytext import align_udf, diff_udf, match_udf, sub_segments_udf
+from lexweave.scale import cut, running
 
 CONTEXT = 8
 NO_ERROR = "无误"
@@ -119,6 +121,15 @@ def locate(corrections: DataFrame, segs: DataFrame) -> DataFrame:
     return exact.unionByName(loose).select("doc_id", "batch", "corr_id", "p.seg_no", "p.offset")
 
 
+def _batched(df: DataFrame, number: str, columns: list[str], prefix: str) -> DataFrame:
+    """One row per (doc_id, batch) with its few rows as parallel arrays in `number` order."""
+    rows = F.array_sort(F.collect_list(F.struct(number, *columns)))
+    packed = df.groupBy("doc_id", "batch").agg(rows.alias("_r"))
+    def pull(c: str) -> Column:
+        return F.transform("_r", lambda r: r[c]).alias(f"{prefix}_{c}")
+    return packed.select("doc_id", "batch", *[pull(c) for c in [number, *columns]])
+
+
 def align(lines: DataFrame, originals: DataFrame) -> DataFrame:
     """Assign correction lines to originals, one to one: (doc_id, batch, orig_no, original, corrected, matched).
 
@@ -126,33 +137,12 @@ def align(lines: DataFrame, originals: DataFrame) -> DataFrame:
     segments. Exact or contained text first, then the best similarity above 0.3; unmatched originals
     keep their text.
     """
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.sort_values("line_no")["text"].tolist()
-        org = right.sort_values("orig_no")
-        texts, numbers = org["text"].tolist(), org["orig_no"].tolist()
-        taken: dict[int, str] = {}
-        late = []
-        for row in rows:
-            a = strip_edge(row)
-            hit = next((j for j, t in enumerate(texts) if j not in taken
-                        and (strip_edge(t) in a or a in strip_edge(t))), None)
-            if hit is None:
-                late.append(row)
-            else:
-                taken[hit] = row
-        for row in late:
-            scored = [(similarity(row, t), -j) for j, t in enumerate(texts) if j not in taken]
-            best = max(scored, default=(0.0, 0))
-            if best[0] > 0.3:
-                taken[-best[1]] = row
-        key = right if len(right) else left
-        return pd.DataFrame({
-            "doc_id": key["doc_id"].iloc[0], "batch": key["batch"].iloc[0], "orig_no": numbers, "original": texts,
-            "corrected": [taken.get(j, t) for j, t in enumerate(texts)],
-            "matched": [j in taken for j in range(len(texts))]})
-    key_type = originals.schema["doc_id"].dataType.simpleString()
-    return (lines.groupBy("doc_id", "batch").cogroup(originals.groupBy("doc_id", "batch"))
-            .applyInPandas(run, f"doc_id {key_type}, batch bigint, orig_no bigint, original string, corrected string, matched boolean"))
+    j = _batched(originals, "orig_no", ["text"], "o").join(_batched(lines, "line_no", ["text"], "l"), ["doc_id", "batch"], "left")
+    none = F.array().cast("array<string>")
+    picked = j.withColumn("_p", align_udf(F.coalesce("l_text", none), "o_text"))
+    out = picked.select("doc_id", "batch", F.explode(F.arrays_zip("o_orig_no", "o_text", "_p")).alias("z"))
+    return out.select("doc_id", "batch", F.col("z.o_orig_no").alias("orig_no"), F.col("z.o_text").alias("original"),
+                      F.coalesce("z._p", "z.o_text").alias("corrected"), F.col("z._p").isNotNull().alias("matched"))
 
 
 def match_results(results: DataFrame, originals: DataFrame) -> DataFrame:
@@ -162,42 +152,18 @@ def match_results(results: DataFrame, originals: DataFrame) -> DataFrame:
     takes the first contained or the most similar (> 0.3) unused original. Originals without a result
     get a no-error row (res_no null).
     """
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = right.sort_values("orig_no")["text"].tolist()
-        used, out = [], []
-        for no, org, cor in left.sort_values("res_no")[["res_no", "original", "corrected"]].itertuples(index=False):
-            pick = None
-            if org:
-                if org in texts:
-                    pick = org
-                else:
-                    score, j = max(((similarity(org, t), -j) for j, t in enumerate(texts)), default=(0.0, 0))
-                    pick = texts[-j] if score > 0.5 else None
-            else:
-                a = cor.strip(" \t\n\r")
-                free = [t for t in texts if t not in used]
-                best = 0.0
-                for t in free:
-                    b = t.strip(" \t\n\r")
-                    if b in a or a in b:
-                        pick = t
-                        break
-                    score = similarity(a, b)
-                    if score > best and score > 0.3:
-                        best, pick = score, t
-            if pick is not None:
-                used.append(pick)
-                out.append((no, pick, cor))
-        out += [(None, t, t) for t in texts if t not in used]
-        key = right if len(right) else left
-        frame = pd.DataFrame(out, columns=["res_no", "original", "corrected"])
-        frame.insert(0, "batch", key["batch"].iloc[0])
-        frame.insert(0, "doc_id", key["doc_id"].iloc[0])
-        frame["res_no"] = frame["res_no"].astype("Int64")
-        return frame
-    key_type = originals.schema["doc_id"].dataType.simpleString()
-    return (results.groupBy("doc_id", "batch").cogroup(originals.groupBy("doc_id", "batch"))
-            .applyInPandas(run, f"doc_id {key_type}, batch bigint, res_no bigint, original string, corrected string"))
+    r = _batched(results, "res_no", ["original", "corrected"], "r")
+    j = _batched(originals, "orig_no", ["text"], "o").join(r, ["doc_id", "batch"], "full")
+    none = F.array().cast("array<string>")
+    texts = F.coalesce("o_text", none)
+    picked = j.select("doc_id", "batch", "r_res_no", "r_corrected", texts.alias("o_text"),
+                      match_udf(F.coalesce("r_original", none), F.coalesce("r_corrected", none), texts).alias("_p"))
+    found = (picked.select("doc_id", "batch", F.explode(F.arrays_zip("r_res_no", "r_corrected", "_p")).alias("z"))
+             .select("doc_id", "batch", F.col("z.r_res_no").alias("res_no"), F.col("z._p").alias("original"), F.col("z.r_corrected").alias("corrected"))
+             .filter(F.col("original").isNotNull()))
+    unused = F.array_except("o_text", F.coalesce("_p", none))
+    fill = picked.select("doc_id", "batch", F.explode(unused).alias("original"))
+    return found.unionByName(fill.select("doc_id", "batch", F.lit(None).cast("bigint").alias("res_no"), "original", F.col("original").alias("corrected")))
 
 
 def issue_islands(issues: DataFrame, width: int = 100_000) -> DataFrame:
@@ -206,10 +172,11 @@ def issue_islands(issues: DataFrame, width: int = 100_000) -> DataFrame:
     No rule of `resolve_overlaps` relates issues of different islands.
     """
     order = ["start", "neg_end", "issue_id"]
-    src = issues.withColumn("neg_end", -F.col("end"))
+    # Each step reads its input twice (rows and piece totals), so the input is written once.
+    src = cut(issues.withColumn("neg_end", -F.col("end")))
     seen = running(src, ["doc_id"], order, F.floor(F.col("start") / width), {"reach": ("max", F.col("end"))})
     opens = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)
-    marked = seen.withColumn("_open", opens)
+    marked = cut(seen.withColumn("_open", opens))
     before = running(marked, ["doc_id"], order, F.floor(F.col("start") / width), {"_n": ("sum", F.col("_open"))})
     return before.withColumn("island", F.col("_n") + F.col("_open")).drop("neg_end", "reach", "_open", "_n")
 
@@ -218,28 +185,43 @@ def resolve_overlaps(issues: DataFrame) -> DataFrame:
     """Drop contained issues, keep the wider of equal starts and the shorter of overlapping equal texts.
 
     issues(doc_id, issue_id, start, end, original, ...) in the order start ascending, end descending.
+    Issues that touch no other one never reach Python; the other islands are streamed in order.
     """
-    schema = issues.schema
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "issue_id"], ascending=[True, False, True])
-        kept: list[tuple] = []
-        for i, (start, end, original) in enumerate(pdf[["start", "end", "original"]].itertuples(index=False)):
-            verdict = "keep"
-            for e in kept:
-                if e[0] <= start and end <= e[1]:
-                    verdict = "drop"
-                elif start == e[0] and end > e[1]:
-                    verdict = e
-                elif original == e[2] and start != e[0] and max(start, e[0]) < min(end, e[1]):
-                    verdict = e if end - start < e[1] - e[0] else "drop"
-                if verdict != "keep":
-                    break
-            if isinstance(verdict, tuple):
-                kept.remove(verdict)
-            if verdict != "drop":
-                kept.append((start, end, original, i))
-        return pdf.iloc[[k[3] for k in kept]][[f.name for f in schema.fields]]
-    return issue_islands(issues).groupBy("doc_id", "island").applyInPandas(run, schema)
+    cols = issues.columns
+    isl = issue_islands(issues)
+    isl = cut(isl.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "island"))))
+    crowded = (isl.filter("_n > 1").withColumn("_neg", -F.col("end")).repartition("doc_id", "island")
+               .sortWithinPartitions("doc_id", "island", "start", "_neg", "issue_id").select(*cols, "island"))
+    at = {c: cols.index(c) for c in ("doc_id", "start", "end", "original")}
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, kept = None, []
+        for pdf in batches:
+            done = []
+            for row in pdf.itertuples(index=False, name=None):
+                key = (row[at["doc_id"]], row[-1])
+                if key != here:
+                    done += kept
+                    here, kept = key, []
+                _settle(kept, row, at["start"], at["end"], at["original"])
+            yield pd.DataFrame([r[:-1] for r in done], columns=cols)
+        yield pd.DataFrame([r[:-1] for r in kept], columns=cols)
+    return isl.filter("_n = 1").select(*cols).unionByName(crowded.mapInPandas(scan, issues.schema))
+
+
+def _settle(kept: list[tuple], row: tuple, s: int, e: int, o: int) -> None:
+    """Add one issue to the kept ones of its island; the first kept issue a rule applies to decides."""
+    for i, k in enumerate(kept):
+        if k[s] <= row[s] and row[e] <= k[e]:
+            return
+        wider = k[s] == row[s] and row[e] > k[e]
+        clash = k[o] == row[o] and k[s] != row[s] and max(k[s], row[s]) < min(k[e], row[e])
+        if clash and not wider and row[e] - row[s] >= k[e] - k[s]:
+            return
+        if wider or clash:
+            del kept[i]
+            break
+    kept.append(row)
 
 
 def issue_summary(issues: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -77,7 +77,7 @@ def src10(spark, d):
     from lexweave.sources.readers import read_table
     root = scratch_path(spark, "accounts")
     def put(df, name):
-        fields = schemas.ACCOUNT_TABLES[name].fields
+        fields = schemas.struct(schemas.ACCOUNT_TABLES[name]).fields
         df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{root}/{name}")
     put(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("uuid-"), "n_nationkey").alias("uuid"), F.col("n_name").alias("name")), "tenants")
     put(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_nationkey").alias("tenant_id")), "users")

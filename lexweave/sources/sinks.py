@@ -12,7 +12,7 @@ from lexweave.scale import last_wins, scratch_path
 def _chunk_columns(chunks: DataFrame) -> DataFrame:
     have = set(chunks.columns)
     return chunks.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CHUNK.fields])
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(schemas.CHUNK).fields])
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
