@@ -64,7 +64,7 @@ def with_chunks(spark, d):
 
 
 @query("agg2_index_status", f"""with {META_SQL} select count(*) document_count, sum(ceil(len({TOKS})/500.0))::bigint chunks_count, sum(size_bytes)::bigint total_size_bytes, strftime(max(added_at),'%Y-%m-%d %H:%M:%S') last_updated,
- printf('%.1f MB', sum(size_bytes)/1048576.0::double) total_size, 'Indexed' state from m""")
+ case when sum(size_bytes) < 1048576 then printf('%.1f KB', sum(size_bytes)/1024.0::double) when sum(size_bytes) < 1073741824 then printf('%.1f MB', sum(size_bytes)/1048576.0::double) else printf('%.1f GB', sum(size_bytes)/1073741824.0::double) end total_size, 'Indexed' state from m""")
 def agg2(spark, d):
     return dc.index_status(with_chunks(spark, d)).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"))
 
