@@ -50,9 +50,14 @@ def strip_blank(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row; a lambda body would compute it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rag_tokens(c: Column) -> Column:
     """Lower-case runs of letters, digits and underscore; unbroken CJK stays one token."""
-    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 def catalog_tokens(c: Column) -> Column:
@@ -61,6 +66,15 @@ def catalog_tokens(c: Column) -> Column:
     return F.concat(words, F.regexp_extract_all(c, F.lit(CJK), F.lit(0)))
 
 
+def token_count(tokenizer, c: Column) -> Column:
+    """Number of tokens, counted without building them where the tokenizer allows it."""
+    if tokenizer is rag_tokens:
+        return F.regexp_count(F.lower(c), F.lit(WORD))
+    if tokenizer is catalog_tokens:
+        return F.regexp_count(c, F.lit("[a-zA-Z0-9]+")) + F.regexp_count(c, F.lit(CJK))
+    return F.size(tokenizer(c))
+
+
 def query_terms(c: Column) -> Column:
     """Blank-separated lower-case terms."""
     return F.filter(F.split(F.regexp_replace(F.lower(c), f"{BLANK}+", " "), " "), lambda t: t != "")
@@ -73,8 +87,8 @@ def count_substring(text: Column, term: Column) -> Column:
 
 def term_hits(text: Column, terms: Column) -> Column:
     """Sum of substring counts of all terms in the lower-cased text."""
-    low = F.lower(text)
-    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda acc, t: acc + count_substring(low, t))
+    return let(F.lower(text), lambda low: F.aggregate(
+        terms, F.lit(0).cast("bigint"), lambda acc, t: acc + count_substring(low, t)))
 
 
 def tool_search_text(name: Column, description: Column, params: Column) -> Column:
@@ -241,25 +255,27 @@ def redact(m: Column) -> Column:
 
 def occurrences(text: Column, term: Column) -> Column:
     """0-based starts of the non-overlapping occurrences of a literal term."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: (F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, p: acc + F.length(p))
-                   + (i - 1) * F.length(term)),
-    )
+    def starts(parts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda i: (F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, n: acc + n) + (i - 1) * F.length(term)))
+    pieces = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")))
+    return let(F.transform(pieces, F.length), starts)
 
 
 def token_windows(c: Column, size: int = 600, overlap: int = 100, token: str | None = None) -> Column:
     """Array of struct(chunk_index, n_tokens, text). Tokens keep the blanks behind them."""
-    tokens = F.regexp_extract_all(c, F.lit(token or f"{NOT_BLANK}+{BLANK}*|^{BLANK}+"), F.lit(0))
     step = size - overlap
-    n = F.size(tokens)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(
-        F.floor(s / step).cast("int").alias("chunk_index"),
-        F.least(F.lit(size), n - s).alias("n_tokens"),
-        F.array_join(F.slice(tokens, s + 1, F.lit(size)), "").alias("text"),
-    ))
+
+    def windows(tokens: Column) -> Column:
+        n = F.size(tokens)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(
+            F.floor(s / step).cast("int").alias("chunk_index"),
+            F.least(F.lit(size), n - s).alias("n_tokens"),
+            F.array_join(F.slice(tokens, s + 1, F.lit(size)), "").alias("text"),
+        ))
+    return let(F.regexp_extract_all(c, F.lit(token or f"{NOT_BLANK}+{BLANK}*|^{BLANK}+"), F.lit(0)), windows)
 
 
 def window_count(c: Column, size: int = 600, overlap: int = 100, token: str | None = None) -> Column:

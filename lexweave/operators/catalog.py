@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as tx
 from lexweave.operators import index as ix
 from lexweave.operators import retrieve as rt
-from lexweave.scale import cut, last_wins, top_k
+from lexweave.scale import cut, exploded, last_wins, top_k
 
 FALLBACK_TOKENS = 20_000
 CHARS_PER_TOKEN = 4.0
@@ -195,7 +195,7 @@ def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     made distinct first and cut into pieces of the wanted lengths, which turns the search into an
     equi join.
     """
-    vocab = (docs.select("doc_id", F.explode(F.array_distinct(tx.catalog_tokens(F.col("hay")))).alias("token")))
+    vocab = exploded(docs, ["doc_id"], F.array_distinct(tx.catalog_tokens(F.col("hay"))), "token")
     lengths = terms.select(F.length("term").alias("len")).distinct()
     # The pieces are cut per distinct token, never per document.
     by_len = lengths.withColumn("_k", F.lit(0)).groupBy("_k").agg(F.collect_set("len").alias("lens"))
@@ -203,7 +203,7 @@ def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     fits = F.filter("lens", lambda n: n <= F.length("token"))
     pieces = F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(
         F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n)))))
-    inside = tokens.select("token", F.explode(pieces).alias("term"))
+    inside = exploded(tokens, ["token"], pieces, "term")
     match = inside.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "token").distinct()
     return vocab.join(match, "token").select("query_id", F.col("doc_id").alias("item_id")).distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.numbers import format_bytes
 from lexweave.functions.text import chunk_uid, strip_blank, token_windows
+from lexweave.scale import exploded
 
 # Extensions that may be uploaded.
 ALLOWED_EXTENSIONS = [".pdf", ".docx", ".doc", ".txt", ".md", ".markdown", ".csv"]
@@ -48,7 +49,7 @@ def document_filter(keyword: str = "", kind: str = "all") -> Column:
 
 def chunk(docs: DataFrame, size: int = 600, overlap: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> overlapping token windows. Works inside each row; nothing is shuffled."""
-    w = docs.select("doc_id", *keep, F.explode(token_windows(F.col("text"), size, overlap)).alias("w"))
+    w = exploded(docs, ["doc_id", *keep], token_windows(F.col("text"), size, overlap), "w")
     return w.select("doc_id", *keep, "w.chunk_index", chunk_uid(F.col("doc_id"), F.col("w.chunk_index")).alias("chunk_uid"),
                     "w.n_tokens", "w.text")
 

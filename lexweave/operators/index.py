@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import rag_tokens
+from lexweave.functions.text import rag_tokens, token_count
+from lexweave.scale import exploded
 
 Tokenizer = Callable[[Column], Column]
 
@@ -20,12 +21,12 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer = rag_tokens, keep: tuple[st
 
 def postings(docs: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFrame:
     """(tenant, doc_id, term, tf). A document's tokens sit in one task, so counting starts map-side."""
-    tok = tokenized(docs, tokenizer).select("tenant", "doc_id", F.explode("tokens").alias("term"))
+    tok = exploded(docs, ["tenant", "doc_id"], tokenizer(F.col("text")), "term")
     return tok.groupBy("tenant", "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFrame:
-    return tokenized(docs, tokenizer).select("tenant", "doc_id", "dl")
+    return docs.select("tenant", "doc_id", token_count(tokenizer, F.col("text")).cast("bigint").alias("dl"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -38,14 +39,14 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFrame:
     """queries(tenant, query_id, text) -> (tenant, query_id, term, qtf): repeats count repeatedly."""
-    return (queries.select("tenant", "query_id", F.explode(tokenizer(F.col("text"))).alias("term"))
+    return (exploded(queries, ["tenant", "query_id"], tokenizer(F.col("text")), "term")
             .groupBy("tenant", "query_id", "term").agg(F.count("*").alias("qtf")))
 
 
 def matching_postings(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFrame:
     """Postings of the wanted terms only, with dl: nothing else of the corpus is shuffled."""
     wanted = terms.select("tenant", "term").distinct()
-    tok = tokenized(docs, tokenizer).select("tenant", "doc_id", "dl", F.explode("tokens").alias("term"))
+    tok = exploded(tokenized(docs, tokenizer), ["tenant", "doc_id", "dl"], F.col("tokens"), "term")
     return (tok.join(wanted, ["tenant", "term"], "left_semi")
             .groupBy("tenant", "doc_id", "term", "dl").agg(F.count("*").alias("tf")))
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
 from lexweave.functions.pytext import align_udf, diff_udf, match_udf, sub_segments_udf
-from lexweave.scale import cut, running
+from lexweave.scale import cut, exploded, running
 
 CONTEXT = 8
 NO_ERROR = "无误"
@@ -40,9 +40,9 @@ def lexicon_issues(docs: DataFrame, lexicon: list[tuple[str, str]] | None = None
     lexicon = list(dict.fromkeys(lexicon or tx.TYPO_PAIRS))
     entries = F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right")) for w, r in lexicon])
     found = (text_lines(docs).withColumn("e", F.explode(entries))
-             .filter(F.contains("line_text", F.col("e.wrong")))
-             .select("doc_id", "line", "line_start", "e.wrong", "e.right",
-                     F.explode(tx.occurrences(F.col("line_text"), F.col("e.wrong"))).alias("p")))
+             .filter(F.contains("line_text", F.col("e.wrong"))))
+    found = exploded(found, ["doc_id", "line", "line_start", "e.wrong", "e.right"],
+                     tx.occurrences(F.col("line_text"), F.col("e.wrong")), "p")
     start = (F.col("line_start") + F.col("p")).cast("bigint")
     return found.select(
         "doc_id", "line", F.lit("error").alias("type"), F.lit(tx.DEFAULT_CATEGORY).alias("category"),
@@ -69,8 +69,8 @@ def segments(docs: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("offset"), F.col("text").alias("text")))
     # Python only sees the long paragraphs.
     short = par.filter(F.length("text") <= SEGMENT_LIMIT).withColumn("s", F.explode(whole))
-    cut = par.filter(F.length("text") > SEGMENT_LIMIT).withColumn("s", F.explode(sub_segments_udf("text")))
-    both = short.unionByName(cut).filter(F.length(tx.strip_blank(F.col("s.text"))) > 0)
+    long = exploded(par.filter(F.length("text") > SEGMENT_LIMIT), par.columns, sub_segments_udf("text"), "s")
+    both = short.unionByName(long).filter(F.length(tx.strip_blank(F.col("s.text"))) > 0)
     out = both.select("doc_id", (F.col("offset_compact") + F.col("s.offset")).alias("offset_compact"),
                       (F.col("offset_source") + F.col("s.offset")).alias("offset_source"), F.col("s.text").alias("text"))
     w = Window.partitionBy("doc_id").orderBy("offset_source")
@@ -92,7 +92,7 @@ def diff_spans(pairs: DataFrame) -> DataFrame:
     """pairs(..., original, corrected) -> one row per span: start, end, span_original, span_corrected."""
     keep = pairs.columns
     changed = pairs.filter(F.col("original") != F.col("corrected"))
-    return (changed.withColumn("_s", F.explode(diff_udf("original", "corrected")))
+    return (exploded(changed, keep, diff_udf("original", "corrected"), "_s")
             .select(*keep, "_s.start", "_s.end", "_s.span_original", "_s.span_corrected"))
 
 
@@ -140,7 +140,7 @@ def align(lines: DataFrame, originals: DataFrame) -> DataFrame:
     j = _batched(originals, "orig_no", ["text"], "o").join(_batched(lines, "line_no", ["text"], "l"), ["doc_id", "batch"], "left")
     none = F.array().cast("array<string>")
     picked = j.withColumn("_p", align_udf(F.coalesce("l_text", none), "o_text"))
-    out = picked.select("doc_id", "batch", F.explode(F.arrays_zip("o_orig_no", "o_text", "_p")).alias("z"))
+    out = exploded(picked, ["doc_id", "batch"], F.arrays_zip("o_orig_no", "o_text", "_p"), "z")
     return out.select("doc_id", "batch", F.col("z.o_orig_no").alias("orig_no"), F.col("z.o_text").alias("original"),
                       F.coalesce("z._p", "z.o_text").alias("corrected"), F.col("z._p").isNotNull().alias("matched"))
 
@@ -158,11 +158,11 @@ def match_results(results: DataFrame, originals: DataFrame) -> DataFrame:
     texts = F.coalesce("o_text", none)
     picked = j.select("doc_id", "batch", "r_res_no", "r_corrected", texts.alias("o_text"),
                       match_udf(F.coalesce("r_original", none), F.coalesce("r_corrected", none), texts).alias("_p"))
-    found = (picked.select("doc_id", "batch", F.explode(F.arrays_zip("r_res_no", "r_corrected", "_p")).alias("z"))
+    found = (exploded(picked, ["doc_id", "batch"], F.arrays_zip("r_res_no", "r_corrected", "_p"), "z")
              .select("doc_id", "batch", F.col("z.r_res_no").alias("res_no"), F.col("z._p").alias("original"), F.col("z.r_corrected").alias("corrected"))
              .filter(F.col("original").isNotNull()))
     unused = F.array_except("o_text", F.coalesce("_p", none))
-    fill = picked.select("doc_id", "batch", F.explode(unused).alias("original"))
+    fill = exploded(picked, ["doc_id", "batch"], unused, "original")
     return found.unionByName(fill.select("doc_id", "batch", F.lit(None).cast("bigint").alias("res_no"), "original", F.col("original").alias("corrected")))
 
 

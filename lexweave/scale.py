@@ -114,6 +114,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     return joined.select(*cols)
 
 
+def exploded(df: DataFrame, keep: Sequence[Column | str], array: Column, name: str) -> DataFrame:
+    """keep + one row per array element.
+
+    An inner explode makes the optimizer test size(array) > 0 in a filter of its own, which computes an
+    expensive array a second and third time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """Best k rows per key. Spark prunes to k rows per task before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
