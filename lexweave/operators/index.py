@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import rag_tokens, token_count
-from lexweave.scale import exploded
+from lexweave.scale import bounded_broadcast, cut, exploded
+
+BROADCAST_TERMS = 500_000
 
 Tokenizer = Callable[[Column], Column]
 
@@ -51,6 +53,24 @@ def matching_postings(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer =
             .groupBy("tenant", "doc_id", "term", "dl").agg(F.count("*").alias("tf")))
 
 
+# Marks the one row per document that carries its length; no tokenizer gives an empty token.
+DOCUMENT_ROW = ""
+
+
+def postings_and_lengths(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer = rag_tokens) -> tuple[DataFrame, DataFrame]:
+    """(matching postings, corpus statistics) from one scan and one tokenising of the texts.
+
+    Each document gets an extra marker row, so the statistics come from the same written table as the
+    postings. The table holds the matching postings and one row per document.
+    """
+    wanted = terms.select("tenant", "term").unionByName(terms.select("tenant", F.lit(DOCUMENT_ROW).alias("term"))).distinct()
+    marked = tokenized(docs, tokenizer).withColumn("tokens", F.concat("tokens", F.array(F.lit(DOCUMENT_ROW))))
+    tok = exploded(marked, ["tenant", "doc_id", "dl"], F.col("tokens"), "term")
+    both = cut(tok.join(bounded_broadcast(wanted, BROADCAST_TERMS), ["tenant", "term"], "left_semi")
+               .groupBy("tenant", "doc_id", "term", "dl").agg(F.count("*").alias("tf")))
+    return both.filter(F.col("term") != DOCUMENT_ROW), corpus_stats(both.filter(F.col("term") == DOCUMENT_ROW))
+
+
 def merge_term_stats(old: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """New df table from the old one and the postings that came and went."""
     parts = old.select("tenant", "term", "df").unionByName(term_stats(added))

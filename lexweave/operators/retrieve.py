@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import rag_tokens
 from lexweave.operators import index as ix
-from lexweave.scale import exact_ranks, top_k
+from lexweave.scale import bounded_broadcast, cut, exact_ranks, top_k
 
 K1, B, RRF_K, RRF_ALPHA = 1.5, 0.75, 60, 0.1
 KEYWORD_TOP_K, RERANK_BATCH, RERANK_TOP_N = 10, 20, 5
@@ -42,8 +42,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, tokenizer=rag_tokens, catal
                 digits: int = 6) -> DataFrame:
     """(query_id, item_id, score > 0) for every matching pair, built straight from the texts."""
     terms = ix.query_terms(queries, tokenizer)
-    post = ix.matching_postings(docs, terms, tokenizer)
-    corpus = ix.corpus_stats(ix.doc_stats(docs, tokenizer))
+    post, corpus = ix.postings_and_lengths(docs, terms, tokenizer)
     return score_postings(terms, post, ix.term_stats(post), corpus, catalog, digits)
 
 
@@ -51,11 +50,17 @@ def score_postings(terms: DataFrame, post: DataFrame, dfs: DataFrame, corpus: Da
                    catalog: bool = False, digits: int = 6) -> DataFrame:
     """BM25 from index tables: post(tenant, doc_id, term, tf, dl), dfs(df), corpus(n, avgdl).
 
-    The weight of a term is folded into the query side first, so the big side is joined once.
+    The weight of a term is folded into the query side first, so the big side is joined once. While the
+    batch has few terms that side is broadcast: postings then stay where they are and a frequent term
+    heats no partition. Beyond that the join shuffles and skew is split at run time.
     """
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    terms = cut(terms)
+    wanted = bounded_broadcast(terms.select("tenant", "term").distinct(), ix.BROADCAST_TERMS)
+    dfs = dfs.join(wanted, ["tenant", "term"], "left_semi")
     weighted = (terms.join(dfs, ["tenant", "term"]).join(corpus, "tenant")
                 .select("tenant", "query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w")))
+    weighted = F.broadcast(weighted) if terms.count() <= ix.BROADCAST_TERMS else weighted.hint("merge")
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length_norm(F.col("dl"), F.col("avgdl"), catalog)))
     return (post.join(weighted, ["tenant", "term"])

@@ -114,6 +114,16 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     return joined.select(*cols)
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast a side of short rows if it has at most max_rows of them, else leave the join to shuffle.
+
+    The check counts the side itself. Beyond the bound a merge hint keeps the planner from broadcasting
+    the other side on a low estimate.
+    """
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def exploded(df: DataFrame, keep: Sequence[Column | str], array: Column, name: str) -> DataFrame:
     """keep + one row per array element.
 
