@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("scalars", "retrieval", "catalog", "documents", "sessions", "evals",
-           "accounts", "layout", "graph", "spans", "streams")
+           "accounts", "layout", "graph", "spans", "streams", "files")
 
 
 def load_all() -> None:
