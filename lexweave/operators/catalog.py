@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as tx
 from lexweave.operators import index as ix
 from lexweave.operators import retrieve as rt
-from lexweave.scale import cut, exploded, last_wins, top_k
+from lexweave.scale import bounded_broadcast, cut, exploded, last_wins, top_k
 
 FALLBACK_TOKENS = 20_000
 CHARS_PER_TOKEN = 4.0
@@ -205,7 +205,7 @@ def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n)))))
     inside = exploded(tokens, ["token"], pieces, "term")
     match = inside.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "token").distinct()
-    return vocab.join(match, "token").select("query_id", F.col("doc_id").alias("item_id")).distinct()
+    return vocab.join(bounded_broadcast(cut(match), 1_000_000), "token").select("query_id", F.col("doc_id").alias("item_id")).distinct()
 
 
 def catalog_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -213,7 +213,9 @@ def catalog_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     # Read twice below: once for the result, once to find the queries without a hit.
     scored = cut(rt.bm25_scores(docs, queries, tx.catalog_tokens, catalog=True))
     missed = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    terms = ix.query_terms(missed, tx.catalog_tokens)
+    terms = cut(ix.query_terms(missed, tx.catalog_tokens))
+    if terms.isEmpty():
+        return scored
     loose = substring_hits(docs, terms).withColumn("score", F.lit(FALLBACK_SCORE))
     return scored.unionByName(loose.select(*scored.columns))
 

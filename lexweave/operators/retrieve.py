@@ -112,10 +112,17 @@ def retrieve(docs: DataFrame, queries: DataFrame, vector_hits: DataFrame, top_n:
     return rank_hits(fuse_routes(lexical, vector_hits.filter(F.col("rank") <= top_n)), top_n)
 
 
+def pick_items(table: DataFrame, hits: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of a large table whose item_id is hit. While the hits are few the table is not shuffled."""
+    return table.join(bounded_broadcast(hits.select("item_id").distinct(), max_rows), "item_id", "left_semi")
+
+
 def attach_payload(hits: DataFrame, chunks: DataFrame, vector_hits: DataFrame) -> DataFrame:
     """Text from the chunk table; source only for items the vector route found, else ''."""
+    hits = cut(hits)
     seen = vector_hits.select("query_id", "item_id").withColumn("_v", F.lit(True))
-    return (hits.join(chunks.select(F.col("doc_id").alias("item_id"), "text", "source"), "item_id", "left")
+    found = pick_items(chunks.select(F.col("doc_id").alias("item_id"), "text", "source"), hits)
+    return (hits.join(found, "item_id", "left")
             .join(seen, ["query_id", "item_id"], "left")
             .withColumn("text", F.coalesce("text", F.lit("")))
             .withColumn("source", F.when(F.col("_v"), F.coalesce("source", F.lit(""))).otherwise(F.lit("")))

@@ -14,6 +14,7 @@ from lexweave.functions.vectors import centroid, cosine, vector_topk
 from lexweave.operators import index as ix
 from lexweave.operators import retrieve as rt
 from lexweave.plans.registry import query, table
+from lexweave.scale import cut
 
 TOK = r"list_filter(string_split(regexp_replace(lower({c}),'[^\p{{L}}\p{{N}}_]+',' ','g'),' '), lambda t: t <> '')"
 
@@ -140,9 +141,9 @@ def top2_vector_topk(spark, d):
 @query("ret3_vector_search", f"with {VEC_SQL}, h as ({topk_sql('l2', 10, 'score, item_id')}) "
        "select query_id, item_id, rank, score, source, n_chars, md5(text) text_md5 from h join documents on doc_id = item_id")
 def ret3_vector_search(spark, d):
-    hits = vector_topk(item_vectors(spark, d), doc_vectors(spark, d), 10)
+    hits = cut(vector_topk(item_vectors(spark, d), doc_vectors(spark, d), 10))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", "n_chars", F.md5("text").alias("text_md5"))
-    return hits.join(docs, "item_id").select("query_id", "item_id", "rank", "score", "source", "n_chars", "text_md5")
+    return hits.join(rt.pick_items(docs, hits), "item_id").select("query_id", "item_id", "rank", "score", "source", "n_chars", "text_md5")
 
 
 CENTROID_SQL = """

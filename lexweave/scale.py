@@ -149,9 +149,10 @@ def exact_ranks(scored: DataFrame, candidates: DataFrame, key: str = "query_id",
     pool = candidates.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))).alias("_pool")
     )
+    pool = cut(pool)
     here = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
     gaps = (
-        scored.join(pool, key)
+        scored.join(bounded_broadcast(pool, 10_000), key)
         .withColumn("_gap", F.size(F.filter("_pool", lambda c: c <= here)))
         .groupBy(key, "_gap").agg(F.count("*").alias("_n"))
     )

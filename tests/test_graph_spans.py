@@ -72,30 +72,27 @@ def test_running_equals_one_window(spark):
         past.append(r["v"])
 
 
-def brute_resolve(issues):
-    """The sequential rule over one whole document."""
-    out = []
-    for i in sorted(issues, key=lambda x: (x[0], -x[1], x[3])):
-        drop = False
-        for e in out:
-            if e[0] <= i[0] and i[1] <= e[1]:
-                drop = True
-                break
-            if e[0] == i[0] and i[1] > e[1]:
-                out.remove(e)
-                break
-            if e[2] == i[2] and e[0] != i[0] and max(e[0], i[0]) < min(e[1], i[1]):
-                if i[1] - i[0] < e[1] - e[0]:
-                    out.remove(e)
-                else:
-                    drop = True
-                break
-        if not drop:
-            out.append(i)
-    return sorted(out)
-
-
-def test_resolve_overlaps_against_brute_force(spark):
+def whole_document(issues):
+    """The rule over one document at once, without islands."""
+    kept = []
+    for row in sorted(issues, key=lambda x: (x[0], -x[1], x[3])):
+        sp._settle(kept, row, 0, 1, 2)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("rows,kept", [
+    ([(0, 9, "abc", "1"), (2, 4, "b", "2")], ["1"]),                    # contained
+    ([(0, 4, "ab", "1"), (0, 9, "abc", "2")], ["2"]),                   # equal start, wider first by order
+    ([(0, 6, "x", "1"), (4, 8, "x", "2")], ["2"]),                      # same text overlapping, shorter wins
+    ([(0, 4, "x", "1"), (2, 8, "x", "2")], ["1"]),
+    ([(0, 4, "x", "1"), (2, 8, "y", "2")], ["1", "2"]),                 # other text may overlap
+    ([(0, 4, "x", "1"), (4, 8, "x", "2")], ["1", "2"]),                 # touching
+])
+def test_resolve_rules(rows, kept):
+    assert sorted(r[3] for r in whole_document(rows)) == kept
+
+
+def test_islands_do_not_change_the_result(spark):
     rnd = random.Random(11)
     rows, want = [], {}
     for doc in range(30):
@@ -103,7 +100,7 @@ def test_resolve_overlaps_against_brute_force(spark):
         for n in range(rnd.randint(1, 25)):
             s = rnd.randint(0, 60)
             mine.append((s, s + rnd.randint(0, 8), rnd.choice("xyz"), f"{n:02d}"))
-        want[doc] = brute_resolve(mine)
+        want[doc] = whole_document(mine)
         rows += [(doc, i, s, e, o) for s, e, o, i in mine]
     df = spark.createDataFrame(rows, "doc_id int, issue_id string, start bigint, end bigint, original string")
     got = {}
