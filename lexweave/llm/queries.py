@@ -4,10 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.llm.bpe import decode, encode, n_tokens
+from lexweave.llm.langid import fit, held_out, identify
 from lexweave.llm.neardup import near_duplicates
+from lexweave.llm.mixing import by_rank, copies, placed, word_count
 from lexweave.llm.registry import documents, query
+from lexweave.llm.store import staged
+from lexweave.llm.templates import without_recurring_lines
 
 
 @query("op4_near_duplicates")
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir)).drop("text_key")
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    out = identify(docs, fit(docs), ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_bpe")
+def op2_bpe(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = decode(encode(docs).select("doc_id", "ids"))
+    return coded.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+MIX_WEIGHTS, MIX_TILTS = [3.0, 1.0, 2.0], [0.5, -0.5, 0.0]
+
+
+@query("op1_mixture", """
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+sources as (
+  select source, sum(size)::double as s, row_number() over (order by source nulls last) - 1 as k from sized group by source),
+weighted as (select *, [3.0, 1.0, 2.0][k % 3 + 1]::double as w, [0.5, -0.5, 0.0][k % 3 + 1]::double as tilt, sum(s) over () * 1.5 as total from sources),
+leveled as (
+  select *, 2 * s / w as ratio,
+    (total - coalesce(sum(2 * s) over (order by 2 * s / w, source nulls first rows between unbounded preceding and 1 preceding), 0))
+      / sum(w) over (order by 2 * s / w, source nulls first rows between current row and unbounded following) as lv from weighted),
+plan as (select *, least(2 * s, (select arg_min(lv, ratio) from leveled where ratio >= lv) * w) as target from leveled),
+started as (
+  select d.doc_id, d.size, p.s, p.w, p.tilt, p.target, round(p.target)::bigint as demand,
+    coalesce(sum(d.size) over (partition by d.source order by md5(coalesce(d.doc_id::varchar, '')), d.size rows between unbounded preceding and 1 preceding), 0) as start
+  from sized d join plan p on d.source is not distinct from p.source),
+took as (
+  select *, greatest(0, least(size, demand - start)) as t0, greatest(0, least(size, demand - start - s)) as t1 from started),
+timed as (
+  select *, w * (1 + tilt) as w0, w * (1 - tilt) - w * (1 + tilt) as slope,
+    w * least(1.0, (start + t0 / 2) / demand) as area from took)
+select doc_id, size::bigint as size, s::bigint as source_size, round(target, 6) as target, (t0 + t1)::bigint as taken,
+  case when t0 > 0 then round(2 * area / (w0 + sqrt(w0 * w0 + 2 * slope * area)), 6) end as position
+from timed
+""")
+def op1_mixture(spark, sf_dir):
+    sized = staged(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    mixed = copies(placed(sized, by_rank(sized, MIX_WEIGHTS, MIX_TILTS), 1.5, 2.0))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
+    return (mixed.select("row.doc_id", "row.size", "source_size", F.round("target", 6).alias("target"), taken.alias("taken"),
+                         F.round(F.get("copies", F.lit(0))["position"], 6).alias("position")).orderBy("position", "doc_id"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return without_recurring_lines(docs).select(
+        "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_dropped"), "words_dropped",
+        F.array_join(F.col("lines").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))
