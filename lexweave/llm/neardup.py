@@ -8,9 +8,10 @@ sequence; without words it is empty and links with nothing. Documents link when
    exponentially distributed hashes, truncated to powers of `BASE`. Registers of parts merge by their maximum.
 2. Documents of equal sets become one node. A node's registers are cut into bands; nodes that share a band meet.
 3. Inside a bucket no pair list is made. `STAR_BANDS` first meet only a hashed centre of each bucket, then all bands
-   do. What still lies in different components of one bucket is then paired, each member outside the largest
-   component of the bucket with the others. Copies and near copies have merged by then, so few pairs are left,
-   and no pair that shares a band is lost.
+   do. Copies and near copies have merged by then. Nodes whose buckets still hold several components go through an
+   exact filter on their full sets: to reach the threshold, two sets of different components must share one of their
+   rarest shingles early enough that the rest can still hold the needed overlap. Shingles found in one component only
+   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has.
 4. Every pair gets a joint likelihood estimate of its similarity from the registers and exact set sizes; pairs
    that lie `DEVIATIONS` standard errors below the threshold go, all others are confirmed on the full sets.
 
@@ -140,12 +141,9 @@ def _likely(percent: int):
     return keep
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold on their full sets."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", "doc_id", "text_key"), "node")
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the text of the one row that stands for each node."""
+    rows = wanted.join(nodes.select("node", "doc_id", "text_key"), "node")
 
     def sets(batches):
         for batch in batches:
@@ -155,16 +153,48 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
                     ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = (texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (F.md5("text") == F.col("text_key")))
-            .select("node", "text").mapInArrow(sets, "node binary, shingles array<long>")
-            .groupBy("node").agg(F.first("shingles").alias("shingles")))
-    held = staged(held, "sets")
+    held = texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc_id"]) & (F.md5("text") == F.col("text_key")))
+    return staged(held.select("node", "text").mapInArrow(sets, "node binary, shingles array<long>")
+                  .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes that reach the threshold on their full sets."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
+    held = _full_sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
     side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
+def _rare_meetings(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components (node, root) that the exact filter on rare shingles leaves.
+
+    With sizes n and m a link needs an overlap of at least percent * (n + m) / (100 + percent). A node's shingles are
+    ordered by (found in one component only, frequency, value); if the first common shingle stands after i of n shingles,
+    the overlap is at most n - i.
+    """
+    tokens = apart.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    tag = F.xxhash64("root")
+    spread = tokens.groupBy("shingle").agg(F.count("*").alias("df"), (F.min(tag) == F.max(tag)).alias("alone"))
+    ranked = (tokens.join(spread, "shingle").groupBy("node", "root", "n")
+              .agg(F.array_sort(F.collect_list(F.struct(~F.col("alone"), "df", "shingle", "alone"))).alias("order"))
+              .select("node", "root", "n", F.posexplode("order").alias("i", "token"))
+              .filter(~F.col("token.alone") & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n")))
+              .select("node", "root", "n", "i", F.col("token.shingle").alias("shingle")))
+    ranked = staged(ranked, "rare")
+    parts = ranked.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    most = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("parts > 1")
+    right = ranked.join(most.select("shingle", "most"), "shingle")
+    left = right.filter(F.col("root") != F.col("most")).select("shingle", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "i")])
+    fits = lambda n, i: (100 + percent) * (F.col(n) - F.col(i)) >= percent * (F.col("n") + F.col("l_n"))
+    met = left.join(right, "shingle").filter((F.col("l_root") != F.col("root")) & fits("n", "i") & fits("l_n", "l_i")
+                                             & ((F.col("root") == F.col("most")) | (F.col("l_node") < F.col("node"))))
+    return met.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct()
+
+
 def node_links(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Nodes (one per distinct set, with its least doc_id) and confirmed links that connect what is to be connected."""
@@ -195,19 +225,12 @@ def node_links(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col:
     links = staged(links.unionAll(_confirmed(second, nodes, docs, percent, id_col, text_col)), "links")
     roots = components(links)
 
-    # Buckets whose members still lie apart: those outside the largest component meet the others.
+    # Nodes whose buckets still hold several components.
     placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    apart = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("parts > 1").select("key", "most")
-    left = staged(placed.join(apart, "key"), "apart")
-    others = left.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), "most").withColumn("inner", F.col("other_root") == F.col("most")).drop("most")
-    met = (left.filter(F.col("root") != F.col("most")).join(others, "key")
-           .filter((F.col("root") != F.col("other_root")) & (F.col("inner") | (F.col("node") < F.col("other"))))
-           .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-           .join(first.unionAll(second), ["a", "b"], "left_anti"))
-    met = staged(met, "rest")
-    if met.isEmpty():
-        return nodes, links
+    parts = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
+    apart = staged(placed.join(parts, "key", "left_semi").select("node", "root").distinct(), "apart")
+    sets = _full_sets(apart.select("node"), nodes, docs, id_col, text_col)
+    met = staged(_rare_meetings(apart, sets, percent).join(first.unionAll(second), ["a", "b"], "left_anti"), "rest")
     return nodes, staged(links.unionAll(_confirmed(met, nodes, docs, percent, id_col, text_col)), "links")
 
 

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from lexweave.llm.bpe import decode, encode, n_tokens
 from lexweave.llm.langid import fit, held_out, identify
 from lexweave.llm.neardup import near_duplicates
+from lexweave.llm.ledger import CURRENT, ledger, passes
+from lexweave.llm.licenses import licensed
+from lexweave.llm.matroska import read_track, with_media
 from lexweave.llm.mixing import by_rank, copies, placed, word_count
 from lexweave.llm.registry import documents, query
+from lexweave.llm.secrets import as_text, secrets
+from lexweave.llm.separators import document_counts, token_files
 from lexweave.llm.store import staged
 from lexweave.llm.templates import without_recurring_lines
 
@@ -73,3 +78,50 @@ def op9_line_dedup(spark, sf_dir):
     return without_recurring_lines(docs).select(
         "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_dropped"), "words_dropped",
         F.array_join(F.col("lines").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op3_secrets")
+def op3_secrets(spark, sf_dir):
+    found = secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    bare = lambda name, kind: F.transform(name, lambda s: F.struct(s["start"].alias("start"), kind(s).alias("kind"), s["end"].alias("end")))
+    base, added = bare("base", lambda s: s["kind"]), bare("random", lambda s: F.lit(3))
+    return found.select("row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.array_sort(F.concat(base, added))).alias("spans"),
+                        F.size("random").cast("long").alias("n_random"))
+
+
+@query("op5_matroska")
+def op5_matroska(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    read = read_track(with_media(docs).select("row.doc_id", "row.n_bytes", "media"))
+    size = F.octet_length("payload")
+    return read.select("row.doc_id", "row.n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+                       F.crc32(F.substring("payload", size - 15, F.lit(16))).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+                       F.sha2("media", 256).alias("media_sha256"), "feature", F.col("n_packets").cast("long").alias("n_packets"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    files = staged(token_files(documents(spark, sf_dir)), "tokens")
+    order = files.filter(F.col("ordinal").isNotNull()).select("file", "ordinal", "doc_id")
+    counts = document_counts(files.filter(F.col("data").isNotNull()))
+    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@query("op8_quality_ledger")
+def op8_quality_ledger(spark, sf_dir):
+    rows = ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~passes(1)).alias("base_failed"), passes(CURRENT).alias("kept"), "failed")
+
+
+@query("op10_licences")
+def op10_licences(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    # The table has no paths: sources are top folders, ids are dealt to folders of 400 and 20, of which the first is the licence file.
+    spot = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 400").cast("string"), F.expr("doc_id div 20").cast("string"),
+                       F.when(spot % 20 == 0, F.lit("LICENSE")).otherwise(spot.cast("string")))
+    found = licensed(docs.withColumn("path", path))
+    return found.select("row.doc_id", "row.path", "licence", F.round("score", 6).alias("score"), "via", "inherited_from")
