@@ -131,11 +131,15 @@ def by_rank(docs: DataFrame, weights: list[float], tilts: list[float], source: s
     return ranked.select("source", F.explode(knots).alias("k")).select("source", "k.at", "k.weight")
 
 
-def mixture(docs: DataFrame, schedule: DataFrame, share: float = 1.5, max_repeats: float = 2.0, size: str = "size") -> DataFrame:
+def mixture(docs: DataFrame, schedule: DataFrame, share: float = 1.5, max_repeats: float = 2.0, size: str = "size",
+            whole: bool = False) -> DataFrame:
     """The training order: every copy of a document as a row of docs with epoch, taken and position, range-sorted.
 
-    A document's words are taken at most max_repeats times. Rows of size 0 take no words and are left out. Null
+    A document's words are taken at most max_repeats times. With `whole`, a copy that is cut by its source's target stays
+    if half of its words or more are taken, and goes otherwise. Rows of size 0 take no words and are left out. Null
     sources are a source of their own; repeated rows are documents of their own; an empty table gives an empty one.
     """
-    made = copies(placed(docs, schedule, share, max_repeats, size)).select("row", F.explode("copies").alias("copy"))
+    made = copies(placed(docs, schedule, share, max_repeats, size)).select("row", "size", F.explode("copies").alias("copy"))
+    if whole:
+        made = made.filter(2 * F.col("copy.taken") >= F.col("size"))
     return made.orderBy("copy.position", "copy.epoch").select("row.*", "copy.*")
