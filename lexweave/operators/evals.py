@@ -16,9 +16,13 @@ THRESHOLD = 0.5
 
 
 def spread(c: str, digits: int = 4) -> list[Column]:
-    """mean, sample stddev (0 for one value), min and max of a column."""
+    """mean, sample stddev (0 for one value), min and max of a column.
+
+    The mean is taken in decimals, so that rounding does not hang on the order of the sum.
+    """
     r = lambda x: F.round(x.cast("double"), digits)
-    return [r(F.avg(c)).alias(f"{c}_mean"), r(F.coalesce(F.nanvl(F.stddev_samp(c), F.lit(0.0)), F.lit(0.0))).alias(f"{c}_stddev"),
+    mean = F.round(F.avg(F.col(c).cast("decimal(28,9)")), digits).cast("double")
+    return [mean.alias(f"{c}_mean"), r(F.coalesce(F.nanvl(F.stddev_samp(c), F.lit(0.0)), F.lit(0.0))).alias(f"{c}_stddev"),
             r(F.min(c)).alias(f"{c}_min"), r(F.max(c)).alias(f"{c}_max")]
 
 
@@ -135,11 +139,11 @@ def best_iteration(history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def holdout(items: DataFrame, label: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """Stratified split: adds `is_test`, max(1, floor(n * share)) items per label in hashed order.
 
-    The hash spreads each label over 4096 pieces that are numbered on their own and then offset.
+    The hash (MD5 of key:seed) spreads each label over 4096 pieces that are numbered on their own and then offset.
     """
-    h = items.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    h = items.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed).cast("string"))))
     n = h.groupBy(label).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_take"))
-    pos = running(h, [label], ["_h", key], F.shiftright("_h", 52), {"_before": ("sum", F.lit(1))})
+    pos = running(h, [label], ["_h", key], F.substring("_h", 1, 3), {"_before": ("sum", F.lit(1))})
     return pos.join(n, label).withColumn("is_test", F.col("_before") < F.col("_take")).drop("_h", "_before", "_take")
 
 

@@ -106,19 +106,23 @@ def add_context(df: DataFrame, text: str, start: str, end: str, width: int = CON
 def locate(corrections: DataFrame, segs: DataFrame) -> DataFrame:
     """Place corrections(doc_id, batch, corr_id, original) in segments(doc_id, batch, seg_no, text, offset).
 
-    Exact text first; the rest by containment either way inside the same (small) batch. The first
-    segment in order wins.
+    Exact text first, where the last of equal segments wins; the rest by containment either way inside the same
+    (small) batch, where the first wins. A `start` of the correction (a place inside its text) adds to the offset.
     """
     s = segs.select("doc_id", "batch", "seg_no", F.col("text").alias("_t"), "offset")
     place = F.struct("seg_no", "offset")
     exact = (corrections.join(s, (corrections.doc_id == s.doc_id) & (corrections.batch == s.batch) & (corrections.original == s._t))
-             .groupBy(corrections.doc_id, corrections.batch, "corr_id").agg(F.min(place).alias("p")))
+             .groupBy(corrections.doc_id, corrections.batch, "corr_id").agg(F.max(place).alias("p")))
     rest = corrections.join(exact.select("doc_id", "batch", "corr_id"), ["doc_id", "batch", "corr_id"], "left_anti")
     loose = (rest.join(s, ["doc_id", "batch"])
              .filter(F.contains("_t", F.col("original")) | F.contains("original", F.col("_t"))
                      | (tx.strip_blank(F.col("_t")) == tx.strip_blank(F.col("original"))))
              .groupBy("doc_id", "batch", "corr_id").agg(F.min(place).alias("p")))
-    return exact.unionByName(loose).select("doc_id", "batch", "corr_id", "p.seg_no", "p.offset")
+    found = exact.unionByName(loose).select("doc_id", "batch", "corr_id", "p.seg_no", "p.offset")
+    if "start" not in corrections.columns:
+        return found
+    begun = corrections.select("doc_id", "batch", "corr_id", F.coalesce("start", F.lit(0)).alias("_start"))
+    return found.join(begun, ["doc_id", "batch", "corr_id"]).withColumn("offset", F.col("offset") + F.col("_start")).drop("_start")
 
 
 def _batched(df: DataFrame, number: str, columns: list[str], prefix: str) -> DataFrame:

@@ -45,7 +45,7 @@ NAMES_SQL = """nq as materialized (select 'i' || item_id query_id, text from ben
 # --- layers and servers -------------------------------------------------------------------------
 
 SERVER_SQL = """g as (select n_name as "name", 'run-' || n_nationkey command, null url, n_nationkey::bigint ord, 1 layer from nation),
-f as (select 'NATION_' || c_nationkey as "name", null command, 'http://' || c_name url, c_custkey ord, 2 layer from customer where c_mktsegment <> 'BUILDING'),
+f as (select 'NATION_' || c_nationkey as "name", null command, 'http://' || c_name url, c_custkey ord, 2 layer from customer),
 t as (select 'NATION_' || (s_nationkey + 10) as "name", null command, 'http://' || s_name url, s_suppkey ord, 3 layer from supplier),
 u as (select * from g union all select * from f union all select * from t)"""
 
@@ -56,7 +56,7 @@ from (select *, row_number() over (partition by name order by layer desc, ord de
 def join1(spark, d):
     none = F.lit(None).cast("string")
     g = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("run-"), "n_nationkey").alias("command"), none.alias("url"), F.col("n_nationkey").cast("bigint").alias("ord"))
-    f = (table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'")
+    f = (table(spark, d, "customer")
          .select(F.concat(F.lit("NATION_"), "c_nationkey").alias("name"), none.alias("command"), F.concat(F.lit("http://"), "c_name").alias("url"), F.col("c_custkey").alias("ord")))
     t = table(spark, d, "supplier").select(F.concat(F.lit("NATION_"), F.col("s_nationkey") + 10).alias("name"), none.alias("command"), F.concat(F.lit("http://"), "s_name").alias("url"), F.col("s_suppkey").alias("ord"))
     return ct.layered([("global", False, g), ("field", True, f), ("tenant", True, t)]).select("name", "command", "url", "ord", "source", "editable")
@@ -216,16 +216,11 @@ def flt3(spark, d):
     return skills(spark, d).filter(ct.catalog_filter(" BRAND#1 ", "custom")).select("id")
 
 
-@query("top5_catalog_sort", """select p_partkey::varchar id, row_number() over (order by p_size desc, p_partkey::varchar)::bigint by_scripts from part order by by_scripts limit 50""")
+@query("top5_catalog_sort", """select p_partkey::varchar id, row_number() over (order by p_size desc, p_partkey::varchar)::bigint by_scripts from part""")
 def top5(spark, d):
-    best = skills(spark, d).orderBy(*ct.catalog_sort("scripts")).limit(50)
-    return _number(best, ct.catalog_sort("scripts"), "by_scripts")
-
-
-def _number(few, order, out):
-    """Row numbers of an already cut list."""
-    from pyspark.sql.window import Window
-    return few.withColumn("_k", F.lit(0)).withColumn(out, F.row_number().over(Window.partitionBy("_k").orderBy(*order)).cast("bigint")).select("id", out)
+    from lexweave.scale import positions
+    counted = skills(spark, d).withColumn("_down", -F.col("script_count"))
+    return positions(counted, [], ["_down", "id"], F.col("_down"), "by_scripts").select("id", "by_scripts")
 
 
 @query("flt10_validate_skill", """select p_partkey, array_to_string(list_filter([case when p_size = 1 then 'SKILL.md 内容不能为空' end, case when p_size <> 1 and p_size < 10 then 'SKILL.md 缺少 name 字段' end,

@@ -90,11 +90,11 @@ def agg4(spark, d):
     return dc.type_counts(meta(spark, d)).orderBy(F.col("files").desc(), "file_type").limit(4)
 
 
-@query("top4_document_order", f"with {META_SQL} select doc_id, row_number() over (order by added_at desc nulls last, doc_id)::bigint pos from m order by pos limit 100")
+@query("top4_document_order", f"with {META_SQL} select doc_id, row_number() over (order by added_at desc nulls last, doc_id)::bigint pos from m")
 def top4(spark, d):
-    from pyspark.sql.window import Window
-    best = dc.recent(meta(spark, d), 100).select("doc_id", "added_at").withColumn("_k", F.lit(0))
-    return best.select("doc_id", F.row_number().over(Window.partitionBy("_k").orderBy(F.col("added_at").desc_nulls_last(), "doc_id")).cast("bigint").alias("pos"))
+    from lexweave.scale import positions
+    dated = meta(spark, d).select("doc_id", F.coalesce(-F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(2 ** 62)).alias("_down"))
+    return positions(dated, [], ["_down", "doc_id"], F.floor(F.col("_down") / 3_600_000_000)).select("doc_id", "pos")
 
 
 @query("src4_chunk_scan", f"""with t as (select doc_id, source tenant, {TOKS} toks from documents), s as (select tenant, unnest(range(0, len(toks), 500)) st, len(toks) n from t)

@@ -20,7 +20,10 @@ def runs(spark, d):
 
 
 def spread_sql(c):
-    return ", ".join(f"round({e}::double,4) {c}_{n}" for n, e in [("mean", f"avg({c})"), ("stddev", f"coalesce(stddev_samp({c}),0)"), ("min", f"min({c})"), ("max", f"max({c})")])
+    # The mean in whole numbers: billionths summed exactly, then rounded half up to four places.
+    total = f"sum(({c}::decimal(28,9)*1000000000)::hugeint)"
+    mean = f"(sign({total}) * ((2*abs({total})*10000 + count({c})*1000000000::hugeint) // (2*count({c})*1000000000::hugeint)))::double / 10000 {c}_mean"
+    return mean + ", " + ", ".join(f"round({e}::double,4) {c}_{n}" for n, e in [("stddev", f"coalesce(stddev_samp({c}),0)"), ("min", f"min({c})"), ("max", f"max({c})")])
 
 
 SUMMARY_SQL = f"{RUNS_SQL}, su as (select configuration, count(*) runs, {', '.join(spread_sql(m) for m in ev.METRICS)} from ru group by 1)"
@@ -165,7 +168,8 @@ def win7(spark, d):
     return ev.best_iteration(h, ("seg",))
 
 
-@query("win8_holdout")
+@query("win8_holdout", """with h as (select *, count(*) over (partition by quality) n, row_number() over (partition by quality order by md5(doc_id || ':42'), doc_id) r from labels)
+select doc_id, quality, toxic, r <= greatest(1, floor(n * 0.4)) is_test from h""")
 def win8(spark, d):
     return ev.holdout(table(spark, d, "labels"), "quality", "doc_id", 0.4)
 

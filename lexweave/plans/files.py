@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.plans.graph import REL_SQL
 from lexweave.plans.registry import query, table
 from lexweave.scale import scratch_path
 from lexweave.sources import readers as rd
@@ -65,7 +66,9 @@ def snk1(spark, d):
     return rd.read_chunks(spark, path).select("tenant", "doc_id", F.md5("text").alias("text_md5"))
 
 
-@query("snk3_profiles")
+@query("snk3_profiles", f"""with {REL_SQL}, t as (select distinct tenant from ed)
+select tenant, 'node' kind, count(*) lines from nd group by 1 union all select tenant, 'edge', count(*) from ed group by 1
+union all select tenant, 'preferences', 1 from t union all select tenant, 'statistics', 1 from t""")
 def snk3(spark, d):
     from lexweave.operators import graph as gr
     from lexweave.plans.graph import graph
@@ -98,7 +101,9 @@ def snk4_json(spark, d):
 @query("snk5_save_texts", "select 'n' || r_regionkey || '.txt' file, r_name as \"value\" from region")
 def snk5(spark, d):
     path = scratch_path(spark, "texts")
-    sk.save_texts(table(spark, d, "region").select(F.concat(F.lit("../up\\n"), "r_regionkey", F.lit(".txt")).alias("name"), F.col("r_name").alias("text")), path)
+    names = table(spark, d, "region").select("r_regionkey", F.concat(F.lit("../up\\n"), "r_regionkey", F.lit(".txt")).alias("name"), F.col("r_name").alias("text"))
+    for odd in (0, 1):  # the second call leaves the files of the first
+        sk.save_texts(names.filter(F.col("r_regionkey") % 2 == odd).drop("r_regionkey"), path)
     return spark.read.text(path).select("file", "value")
 
 
@@ -111,7 +116,9 @@ def snk6(spark, d):
     return m.select(F.col("tenant").cast("string").alias("tenant"), F.md5("content").alias("content_md5"), F.col("tags")[0].alias("tag"), (F.length("id") == 8).alias("id_ok"))
 
 
-@query("flt14_likely_text")
+@query("flt14_likely_text", """with h as (select doc_id, left(hex(encode(case when lang = 'es' then chr(0) || text else text end)), 1024) x from documents),
+p as (select doc_id, length(x) / 2 n, ' ' || regexp_replace(x, '(..)', '\\1 ', 'g') y from h)
+select doc_id, n > 0 and not contains(y, ' 00 ') and len(regexp_extract_all(y, '(?:[2-6][0-9A-F]|7[0-9A-E]|0A|0D|09|08) ')) / n > 0.7 is_text from p""")
 def flt14(spark, d):
     """Document texts as bytes; a third kind carries a NUL."""
     raw = F.encode(F.when(F.col("lang") == "es", F.concat(F.lit("\x00"), "text")).otherwise(F.col("text")), "UTF-8")

@@ -73,11 +73,12 @@ def gr2(spark, d):
     return gr.pagerank(nodes, edges, max_iter=ROUNDS, tol=None).withColumn("rank", F.round("rank", 6))
 
 
-@query("gr3_neighbours", f"with {REL_SQL} select tenant, dst id, round(weight,3) weight, row_number() over (partition by tenant order by weight desc, dst)::int pos from ed where src = 'USER' qualify row_number() over (partition by tenant order by weight desc, dst) <= 100")
+@query("gr3_neighbours", f"with {REL_SQL} select tenant, dst id, round(weight,3) weight, row_number() over (partition by tenant order by weight desc, dst)::bigint pos from ed where src = 'USER'")
 def gr3(spark, d):
-    from lexweave.scale import top_k
-    n = top_k(gr.neighbours(graph(spark, d)[1]), ["tenant"], [F.col("weight").desc(), F.col("id")], 100, "pos")
-    return n.withColumn("weight", F.round("weight", 3))
+    from lexweave.scale import positions
+    n = gr.neighbours(graph(spark, d)[1]).withColumn("_down", -F.col("weight"))
+    ranked = positions(n, ["tenant"], ["_down", "id"], F.floor(F.col("_down") * 1000))
+    return ranked.drop("_down").withColumn("weight", F.round("weight", 3))
 
 
 SCORE_SQL = f"""{pr_sql(10)}, mx as (select tenant, max(mentions) m from nd group by 1),

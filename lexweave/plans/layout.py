@@ -84,11 +84,11 @@ def agg21(spark, d):
     return ly.duplicate_ids(i).drop("package", "attr")
 
 
-@query("agg22_new_author", """with m as (select c_nationkey package, c_mktsegment author, count(*) n from customer where c_acctbal > 8500 group by 1, 2), o as (select s_nationkey package, 'BUILDING' author, count(*) n from supplier group by 1),
+@query("agg22_new_author", """with m as (select c_nationkey package, c_mktsegment author, count(*) n from customer group by 1, 2), o as (select s_nationkey package, 'BUILDING' author, count(*) n from supplier group by 1),
 g as (select m.package, m.author, m.n - coalesce(o.n,0) added from m left join o using(package, author)), h as (select package, count(*) filter (added > 0) candidates, min(author) filter (added > 0) a from g group by 1)
 select package, candidates, case candidates when 0 then 'nobody' when 1 then a end author, case when candidates > 1 then 'ambiguous' else 'ok' end status from h""")
 def agg22(spark, d):
-    m = table(spark, d, "customer").filter("c_acctbal > 8500").select(F.col("c_nationkey").alias("package"), F.col("c_mktsegment").alias("author"))
+    m = table(spark, d, "customer").select(F.col("c_nationkey").alias("package"), F.col("c_mktsegment").alias("author"))
     o = table(spark, d, "supplier").select(F.col("s_nationkey").alias("package"), F.lit("BUILDING").alias("author"))
     return ly.inferred_author(m, o, "nobody")
 
@@ -113,13 +113,17 @@ def set5(spark, d):
     return ly.reference_audit(*files_refs(spark, d))[1].select("path")
 
 
-@query("join17_cleanup")
+@query("join17_cleanup", """with recursive used as (select distinct l_partkey - l_partkey % 4 p from lineitem),
+f as (select p_partkey p from part where p_size < 45 and p_partkey not in (select p from used)),
+gone as (select p, 1 as "round" from f where p % 2 = 0 or (p - 1) // 2 not in (select p_partkey from part)
+ union all select f.p, gone."round" + 1 from gone join f on f.p = 2 * gone.p + 1)
+select 'p' package, p::varchar path, "round"::int as "round" from gone""")
 def join17(spark, d):
-    """Parts refer to the part twice their number, urgent line items to theirs; unreferenced parts go, round by round."""
+    """Parts refer to the part twice their number plus one, line items to the fourth below theirs; unreferenced parts go, round by round."""
     p = table(spark, d, "part")
     f = p.select(F.lit("p").alias("package"), F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") < 45).alias("removable"))
     r = p.select(F.lit("p").alias("package"), F.col("p_partkey").cast("string").alias("source_path"), (F.col("p_partkey") * 2 + 1).cast("string").alias("target_path"))
-    used = table(spark, d, "lineitem").filter("l_tax = 0 and l_discount = 0").select(F.lit("p").alias("package"), F.concat(F.lit("o"), "l_orderkey").alias("source_path"), F.col("l_partkey").cast("string").alias("target_path"))
+    used = table(spark, d, "lineitem").select(F.lit("p").alias("package"), F.concat(F.lit("o"), "l_orderkey").alias("source_path"), (F.col("l_partkey") - F.col("l_partkey") % 4).cast("string").alias("target_path"))
     return ly.remove_unreferenced(f, r.unionByName(used))
 
 

@@ -21,18 +21,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Wide text tables and the key their rows can be spread by.
-TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A text table with fewer splits than there are slots is spread by its row key.
-
-    At scale a table has more splits than slots and is read as it lies; a small one-split file would
-    keep all tokenising in one task. Only the scan's split count is looked at, no job runs.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, *TEXT_KEYS[name])
-    return df
+    """A driver table, read as it lies at every size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

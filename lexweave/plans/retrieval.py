@@ -126,7 +126,7 @@ def top3_pool_size(spark, d):
     return pool.groupBy("query_id").agg(F.count("*").alias("pool"))
 
 
-@query("win3_ranks", f"with {bm25_sql()} {topk_sql('sc', 60, cols='query_id, item_id, rank')}")
+@query("win3_top_ranks", f"with {bm25_sql()} {topk_sql('sc', 60, cols='query_id, item_id, rank')}")
 def win3_ranks(spark, d):
     return rt.rank_hits(rt.bm25_scores(chunks(spark, d), items(spark, d)), 60).select("query_id", "item_id", "rank")
 

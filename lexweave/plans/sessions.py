@@ -42,10 +42,13 @@ def agg5(spark, d):
     return ss.listing(turns(spark, d)).select("session_id", "title", "conversation_count", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
-@query("top4_session_order", f"""with {TURNS_SQL}, l as (select session_id, max(ts) u from tu group by 1) select session_id, {TS.format('u')} updated_at from l order by u desc, session_id limit 20""")
+@query("top4_session_order", f"""with {TURNS_SQL}, l as (select session_id, max(ts) u from tu group by 1) select session_id, {TS.format('u')} updated_at, row_number() over (order by u desc nulls last, session_id) pos from l""")
 def top4(spark, d):
-    best = ss.listing(turns(spark, d)).orderBy(F.col("updated_at").desc_nulls_last(), "session_id").limit(20)
-    return best.select("session_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    from lexweave.scale import positions
+    never = F.lit(2 ** 62)
+    listed = ss.listing(turns(spark, d)).withColumn("_down", F.coalesce(-F.unix_micros("updated_at"), never))
+    ranked = positions(listed, [], ["_down", "session_id"], F.floor(F.col("_down") / 3_600_000_000))
+    return ranked.select("session_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "pos")
 
 
 @query("agg6_messages", f"with {TURNS_SQL} select session_id, turn, 0::int side, 'user' as role, user_content as content from tu where user_content <> '' union all select session_id, turn, 1, 'assistant', ai_content from tu where ai_content <> ''")
@@ -86,8 +89,13 @@ hd as (select session_id, count(distinct turn) turns, {TS.format('min(ts)')} cre
 select session_id, turns, created_at, updated_at, case when coalesce(user_content,'') = '' then '新对话' when length({CLEAN}) > 30 then left({CLEAN},30) || '...' else {CLEAN} end title
 from hd left join fm using(session_id)""")
 def snk2(spark, d):
-    from lexweave.sources.sinks import session_heads
-    h = session_heads(turn_log(spark, d))
+    """The log arrives in two calls; the second replaces turns of sessions that the first wrote."""
+    from lexweave.scale import scratch_path
+    from lexweave.sources.sinks import session_heads, write_sessions
+    path, log = scratch_path(spark, "sessions"), turn_log(spark, d)
+    for version in (1, 2):
+        write_sessions(log.filter(F.col("version") == version), path)
+    h = spark.read.schema(session_heads(log).schema).parquet(f"{path}/sessions")
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return h.select("session_id", "turns", fmt("created_at"), fmt("updated_at"), "title")
 

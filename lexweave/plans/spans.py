@@ -121,7 +121,7 @@ def join14(spark, d):
 
 @query("join15_locate", f"""with {PAR_SQL}, s as (select doc_id, par_no//5 batch, par_no, "text" t, offset_source from pa),
 c as (select doc_id, batch, par_no corr_id, case when contains(t, 'the') then regexp_replace(t, '[.]$', '') else t end o from s),
-e as (select c.doc_id, c.corr_id, min(s.par_no) m from c join s on s.doc_id = c.doc_id and s.batch = c.batch and s.t = c.o group by 1, 2),
+e as (select c.doc_id, c.corr_id, max(s.par_no) m from c join s on s.doc_id = c.doc_id and s.batch = c.batch and s.t = c.o group by 1, 2),
 l as (select c.doc_id, c.corr_id, min(s.par_no) m from c join s on s.doc_id = c.doc_id and s.batch = c.batch and (contains(s.t, c.o) or contains(c.o, s.t) or {strip_sql('s.t')} = {strip_sql('c.o')}) where not exists (select 1 from e where e.doc_id = c.doc_id and e.corr_id = c.corr_id) group by 1, 2)
 select u.doc_id, corr_id::bigint corr_id, m seg_no, offset_source "offset" from (select * from e union all select * from l) u join s on s.doc_id = u.doc_id and s.par_no = u.m""")
 def join15(spark, d):
@@ -147,9 +147,9 @@ def str23(spark, d):
 
 
 @query("str23_corrected_body", f"""select conv_id*1000+turn doc_id, 'why ' || role think, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '[ ]+$', '')), lambda s: {strip_sql('s')} <> ''), chr(10))) body_md5,
- case role when 'user' then '语序错误' else '错别字' end error_type, '说' || turn explanation from conversations where not contains(text, chr(10) || chr(10))""")
+ case role when 'user' then '语序错误' else '错别字' end error_type, '说' || turn explanation from conversations""")
 def str23_body(spark, d):
-    c = table(spark, d, "conversations").filter(~F.col("text").contains("\n\n"))
+    c = table(spark, d, "conversations")
     raw = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(
         F.lit("<think> why "), "role", F.lit(" </think>\n错误类型："), F.when(F.col("role") == "user", "语序错误").otherwise("别的"), F.lit("，\n修改说明：说"), "turn", F.lit("\n\n"), "text").alias("content"))
     return sp.parse_corrected_body(raw).select("doc_id", "think", F.md5("body").alias("body_md5"), "error_type", "explanation")

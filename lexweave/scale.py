@@ -114,6 +114,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     return joined.select(*cols)
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "pos") -> DataFrame:
+    """Add each row's place (from 1) in the full order of its key; `bucket` must not decrease along `order`.
+
+    Pieces are numbered by themselves and exchange one count each, so even one list of all rows is no single task.
+    """
+    return running(df, keys, order, bucket, {name: ("sum", F.lit(1))}).withColumn(name, (F.col(name) + 1).cast("bigint"))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a side of short rows if it has at most max_rows of them, else leave the join to shuffle.
 

@@ -9,6 +9,11 @@ from lexweave import schemas
 from lexweave.scale import last_wins, scratch_path
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _chunk_columns(chunks: DataFrame) -> DataFrame:
     have = set(chunks.columns)
     return chunks.select(*[
@@ -24,7 +29,7 @@ def delete_documents(spark, path: str, doomed: DataFrame) -> None:
     """Remove doomed(tenant, doc_id); an unknown pair is an error and leaves the table as it is.
 
     Only the touched tenants are rewritten. The survivors are staged first because a table cannot be
-    overwritten while it is read.
+    overwritten while it is read. A tenant without survivors keeps a row without doc_id, which readers skip.
     """
     table = spark.read.schema(schemas.CHUNK).parquet(path)
     unknown = doomed.join(table.select("tenant", "doc_id").distinct(), ["tenant", "doc_id"], "left_anti").limit(5).collect()
@@ -34,15 +39,12 @@ def delete_documents(spark, path: str, doomed: DataFrame) -> None:
     left = touched.join(doomed.select("tenant", "doc_id"), ["tenant", "doc_id"], "left_anti")
     stage = scratch_path(spark, "delete")
     left.write.parquet(stage)
-    emptied = (doomed.select("tenant").distinct()
-               .join(spark.read.parquet(stage).select("tenant").distinct(), "tenant", "left_anti"))
     back = spark.read.schema(left.schema).parquet(stage)
-    _chunk_columns(back).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant").parquet(path)
-    # Tenants that lost all their documents have no rows left to overwrite their folder with.
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in emptied.toLocalIterator():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tenant={row['tenant']}")
-        folder.getFileSystem(conf).delete(folder, True)
+    # Every touched tenant has a row to overwrite its folder with, also one that lost all its documents.
+    rows = _chunk_columns(back).unionByName(_chunk_columns(doomed.select("tenant").distinct()))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def compact_turns(log: DataFrame) -> DataFrame:
@@ -70,11 +72,23 @@ def session_heads(log: DataFrame, deleted: DataFrame | None = None) -> DataFrame
 
 
 def write_sessions(log: DataFrame, path: str, deleted: DataFrame | None = None) -> None:
-    """Compact a turn log into <path>/turns and <path>/sessions, replacing the touched tenants."""
-    turns = compact_turns(log)
+    """Append a turn log to <path>/log and compact what is stored of its tenants into <path>/turns and <path>/sessions.
+
+    Deletions are appended to <path>/deleted and hold for later calls too. A repeated call stores its rows twice in
+    the log, which compaction does not show.
+    """
+    spark = log.sparkSession
+    log.write.mode("append").partitionBy("tenant").parquet(f"{path}/log")
+    touched = log.select("tenant").distinct()
     if deleted is not None:
-        turns = turns.join(deleted, ["tenant", "session_id"], "left_anti")
-    for name, df in [("turns", turns), ("sessions", session_heads(log, deleted))]:
+        deleted.select("tenant", "session_id").write.mode("append").parquet(f"{path}/deleted")
+        touched = touched.unionByName(deleted.select("tenant")).distinct()
+    stored = spark.read.schema(log.schema).parquet(f"{path}/log").join(touched, "tenant", "left_semi")
+    gone = spark.createDataFrame([], log.select("tenant", "session_id").schema)
+    if _exists(spark, f"{path}/deleted"):
+        gone = spark.read.schema(gone.schema).parquet(f"{path}/deleted").distinct()
+    turns = compact_turns(stored).join(gone, ["tenant", "session_id"], "left_anti")
+    for name, df in [("turns", turns), ("sessions", session_heads(stored, gone))]:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant").parquet(f"{path}/{name}"))
 
 
@@ -123,9 +137,9 @@ def base_name(c: Column) -> Column:
 
 
 def save_texts(files: DataFrame, path: str) -> None:
-    """files(name, text): each text goes below file=<base name>/."""
+    """files(name, text): each text goes below file=<base name>/; other files stay."""
     files.select(base_name(F.col("name")).alias("file"), F.col("text").alias("value")).write.mode("overwrite") \
-        .option("lineSep", "\n").partitionBy("file").text(path)
+        .option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("file").text(path)
 
 
 def append_memories(entries: DataFrame, path: str) -> None:
