@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.scale import top_k
+from lexweave.scale import cut, top_k
 
-# A query block is copied to every task, so its size is bounded; more queries mean more blocks.
-MAX_BLOCK_BYTES = 64 * 1024 * 1024
-MAX_BLOCK_QUERIES = 1000
+# Vectors in a query block and in an item pack; bytes of query blocks that may be broadcast; results a task holds.
+BLOCK_QUERIES, PACK_ITEMS = 1000, 8192
+BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_HELD = 5_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,71 +44,96 @@ def centroid(df: DataFrame, key: str, vector: str, out: str) -> DataFrame:
     )
 
 
-def _partition_best(ids: list, matrix: np.ndarray, k: int, metric: str, item_numpy: str):
-    """Per task: best k items per query of one block, kept while batches stream by."""
-    qnorm = np.sqrt((matrix * matrix).sum(axis=1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(ids), 0), np.inf)
-        best_i = np.empty((len(ids), 0), dtype=object if item_numpy == "U" else item_numpy)
-        for pdf in batches:
-            pdf = pdf[pdf["vec"].notna()]
-            pdf = pdf[pdf["vec"].map(len) == matrix.shape[1]]
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            items = pdf["item"].to_numpy().astype(best_i.dtype)
-            if metric == "cosine":
-                vnorm = np.sqrt((v * v).sum(axis=1))
-                den = np.outer(qnorm, vnorm)
-                score = np.divide(matrix @ v.T, den, out=np.zeros_like(den), where=den > 0)
-                cost = -np.round(score, 6)
-                cost[score <= 0] = np.inf
-            else:
-                cost = np.empty((len(ids), len(v)))
-                for q in range(len(ids)):
-                    cost[q] = np.round(((v - matrix[q]) ** 2).sum(axis=1), 6)
-            cost = np.concatenate([best_s, cost], axis=1)
-            cand = np.concatenate([best_i, np.tile(items, (len(ids), 1))], axis=1)
-            keep = min(k, cost.shape[1])
-            order = np.stack([np.lexsort((cand[q].astype(item_numpy), cost[q]))[:keep] for q in range(len(ids))])
-            best_s = np.take_along_axis(cost, order, axis=1)
-            best_i = np.take_along_axis(cand, order, axis=1)
-        q, c = np.nonzero(np.isfinite(best_s))
-        if len(q):
-            score = -best_s[q, c] if metric == "cosine" else best_s[q, c]
-            yield pd.DataFrame({"query_id": [ids[i] for i in q], "item_id": best_i[q, c], "score": score})
+def _packed(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Vectors of (key, embedding) as rows of at most `size` vectors: ids, dim, data. Nothing is shuffled.
+
+    Missing and empty vectors are left out; vectors of different widths are an error.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = pc.fill_null(pc.list_value_length(batch["embedding"]), 0)
+            held = batch.filter(pc.greater(width, 0))
+            for at in range(0, held.num_rows, size):
+                part = held.slice(at, size)
+                dims = set(pc.list_value_length(part["embedding"]).to_pylist())
+                if len(dims) > 1:
+                    raise ValueError(f"vectors of different widths: {sorted(dims)}")
+                data = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part["key"].to_pylist()], pa.list_(part["key"].type)), pa.array([dims.pop()], pa.int32()), pa.array([data], pa.binary())],
+                                                 ["ids", "dim", "data"])
+
+    return df.select(F.col(key).alias("key"), "embedding").mapInArrow(pack, f"ids array<{kind}>, dim int, data binary")
+
+
+def _costs(queries: np.ndarray, items: np.ndarray, metric: str, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the places and rounded costs of all items that can be among its best k, ties included."""
+    dots = queries @ items.T
+    squares = (items * items).sum(axis=1)
+    if metric == "cosine":
+        den = np.outer(np.sqrt((queries * queries).sum(axis=1)), np.sqrt(squares))
+        near = -np.round(np.divide(dots, den, out=np.zeros_like(den), where=den > 0), 6)
+    else:
+        near = squares[None, :] + (queries * queries).sum(axis=1)[:, None] - 2 * dots
+    for q in range(len(queries)):
+        row = near[q]
+        # The expanded square is only used to leave out what is farther than rounding can bridge.
+        bound = np.partition(row, k - 1)[k - 1] + 1e-5 if k < len(row) else np.inf
+        at = np.flatnonzero(row <= bound)
+        if metric == "cosine":
+            at = at[row[at] < 0]
+            yield at, row[at]
+        else:
+            yield at, np.round(((items[at] - queries[q]) ** 2).sum(axis=1), 6)
+
+
+def _best(k: int, metric: str, text_ids: bool):
+    """Best k items per query and task, from rows that pair a block of queries with a pack of items."""
+    def flush(best: dict, schema: pa.Schema) -> pa.RecordBatch:
+        rows = [(q, i, -c if metric == "cosine" else c) for q, found in best.items() for c, i in found]
+        kinds = [schema.field("q_ids").type.value_type, schema.field("ids").type.value_type, pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["query_id", "item_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        out = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch[c][r].as_py() for c in batch.schema.names}
+                if row["q_dim"] != row["dim"]:
+                    raise ValueError(f"queries have {row['q_dim']} places, items {row['dim']}")
+                block = np.frombuffer(row["q_data"]).reshape(-1, row["q_dim"])
+                pack = np.frombuffer(row["data"]).reshape(-1, row["dim"])
+                ids = np.array(row["ids"], dtype=object if text_ids else None)
+                for q, (at, cost) in zip(row["q_ids"], _costs(block, pack, metric, k)):
+                    merged = best.get(q, []) + list(zip(cost.tolist(), ids[at].tolist()))
+                    best[q] = heapq.nsmallest(k, merged)
+            out = batch.schema
+            if len(best) * k > MAX_HELD:
+                yield flush(best, out)
+                best = {}
+        if best:
+            yield flush(best, out)
     return run
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2",
-                max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact nearest items: (query_id, item_id, score, rank).
 
     queries(query_id, embedding), items(item_id, embedding). metric "l2" ranks by ascending squared
     distance; "cosine" ranks descending and keeps only positive similarities. Scores are rounded to
-    6 digits before ranking, ties go to the smaller id. Each task emits at most k rows per query.
-    Queries travel in blocks no larger than `max_block_bytes`; more queries mean more passes.
+    6 digits before ranking, ties go to the smaller id. Queries are packed into blocks and items into
+    packs where they lie; one scan of the items meets all blocks, and a task emits at most k rows per
+    query it has seen. The blocks are broadcast only if their bytes are within `broadcast_bytes`.
     """
-    q = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
-    n, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
     qtype = queries.schema["query_id"].dataType.simpleString()
     itype = items.schema["item_id"].dataType.simpleString()
-    schema = f"query_id {qtype}, item_id {itype}, score double"
-    src = items.select(F.col("item_id").alias("item"), F.col("embedding").alias("vec"))
-    if not n:
-        return top_k(src.sparkSession.createDataFrame([], schema), ["query_id"], [F.col("score")], k)
-    blocks = max(-(-n * width * 8 // max_block_bytes), -(-n // MAX_BLOCK_QUERIES))
+    blocks = cut(_packed(queries.select("query_id", "embedding"), "query_id", BLOCK_QUERIES)
+                 .select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data")))
+    held = blocks.agg(F.coalesce(F.sum(F.octet_length("q_data") + 64 * F.size("q_ids")), F.lit(0))).first()[0]
+    packs = _packed(items.select("item_id", "embedding"), "item_id", PACK_ITEMS)
+    met = packs.crossJoin(F.broadcast(blocks) if held <= broadcast_bytes else blocks)
+    found = met.mapInArrow(_best(k, metric, itype == "string"), f"query_id {qtype}, item_id {itype}, score double")
     order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
-    item_numpy = "U" if itype == "string" else "int64"
-    found = None
-    for b in range(blocks):
-        block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = block.collect()
-        for dim in sorted({len(r["embedding"]) for r in rows}):
-            part = [r for r in rows if len(r["embedding"]) == dim]
-            ids = [r["query_id"] for r in part]
-            matrix = np.array([r["embedding"] for r in part], dtype=np.float64)
-            local = src.mapInPandas(_partition_best(ids, matrix, k, metric, item_numpy), schema)
-            found = local if found is None else found.unionByName(local)
     return top_k(found, ["query_id"], [order, F.col("item_id").asc()], k)
