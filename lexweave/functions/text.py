@@ -255,12 +255,14 @@ def redact(m: Column) -> Column:
 
 def occurrences(text: Column, term: Column) -> Column:
     """0-based starts of the non-overlapping occurrences of a literal term."""
-    def starts(parts: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: (F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, n: acc + n) + (i - 1) * F.length(term)))
+    # One pass over the pieces: where the last one ended, and the starts so far.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     pieces = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")))
-    return let(F.transform(pieces, F.length), starts)
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + F.length(piece)
+        return F.struct((start + F.length(term)).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), begin, step, lambda acc: acc["starts"])
 
 
 def token_windows(c: Column, size: int = 600, overlap: int = 100, token: str | None = None) -> Column:

@@ -23,15 +23,21 @@ def keyword_pool(top_k_: int, keyword_top_k: int = KEYWORD_TOP_K, rerank_batch:
     return max(top_k_, keyword_top_k, rerank_batch)
 
 
-def tool_limits(limit: int | None) -> tuple[int, int]:
-    """(limit, pool) of a tool search."""
-    limit = max(1, min(int(limit or 5), 20))
-    return limit, max(20, limit * 4)
+def _limits(limit, most: int, least_pool: int, factor: int):
+    if isinstance(limit, Column):
+        shown = F.greatest(F.lit(1), F.least(F.coalesce(F.nullif(limit, F.lit(0)), F.lit(5)), F.lit(most)))
+        return shown, F.greatest(F.lit(least_pool), shown * factor)
+    shown = max(1, min(int(limit or 5), most))
+    return shown, max(least_pool, shown * factor)
 
 
-def service_limits(limit: int | None) -> tuple[int, int]:
-    limit = max(1, min(int(limit or 5), 10))
-    return limit, max(30, limit * 8)
+def tool_limits(limit: int | Column | None):
+    """(limit, pool) of a tool search, for one number or a column of numbers; 0 and none mean 5."""
+    return _limits(limit, 20, 20, 4)
+
+
+def service_limits(limit: int | Column | None):
+    return _limits(limit, 10, 30, 8)
 
 
 def _length_norm(dl: Column, avgdl: Column, catalog: bool) -> Column:

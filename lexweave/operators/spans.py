@@ -39,8 +39,9 @@ def lexicon_issues(docs: DataFrame, lexicon: list[tuple[str, str]] | None = None
     """Every occurrence of a known wrong form, with its line and global offsets."""
     lexicon = list(dict.fromkeys(lexicon or tx.TYPO_PAIRS))
     entries = F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right")) for w, r in lexicon])
-    found = (text_lines(docs).withColumn("e", F.explode(entries))
-             .filter(F.contains("line_text", F.col("e.wrong"))))
+    # Only entries that a line holds become rows.
+    held = F.filter(entries, lambda e: F.contains("line_text", e["wrong"]))
+    found = exploded(text_lines(docs), ["doc_id", "line", "line_text", "line_start"], held, "e")
     found = exploded(found, ["doc_id", "line", "line_start", "e.wrong", "e.right"],
                      tx.occurrences(F.col("line_text"), F.col("e.wrong")), "p")
     start = (F.col("line_start") + F.col("p")).cast("bigint")
@@ -207,6 +208,9 @@ def resolve_overlaps(issues: DataFrame) -> DataFrame:
                 if key != here:
                     done += kept
                     here, kept = key, []
+                # What ended before this start can meet nothing any more.
+                done += [k for k in kept if k[at["end"]] < row[at["start"]]]
+                kept = [k for k in kept if k[at["end"]] >= row[at["start"]]]
                 _settle(kept, row, at["start"], at["end"], at["original"])
             yield pd.DataFrame([r[:-1] for r in done], columns=cols)
         yield pd.DataFrame([r[:-1] for r in kept], columns=cols)
@@ -256,7 +260,7 @@ def apply_issues(docs: DataFrame, issues: DataFrame) -> DataFrame:
         s = F.greatest(F.lit(0), F.least(n, x["s"]))
         e = F.greatest(s, F.least(n, x["e"]))
         here = F.substring(acc, s + 1, e - s)
-        first = F.locate_col(x["o"], acc) if hasattr(F, "locate_col") else F.position(x["o"], acc)
+        first = F.position(x["o"], acc)
         moved = (x["o"] != "") & (here != x["o"])
         s2 = F.when(moved, first - 1).otherwise(s)
         e2 = F.when(moved, first - 1 + F.length(x["o"])).otherwise(e)
@@ -339,7 +343,8 @@ def merge_runs(runs: DataFrame, keys: list[str], pos: str, same: list[str], widt
     bucket = F.floor(F.col(pos) / width)
     prev = running(runs, keys, [pos], bucket, {"_prev": ("last", mark)})
     flagged = prev.withColumn("_new", F.when(F.col("_prev").eqNullSafe(mark), 0).otherwise(1))
-    counted = running(flagged, keys, [pos], bucket, {"_n": ("sum", F.col("_new"))})
+    # Written once: the second pass would else compute the first again for each of its branches.
+    counted = running(cut(flagged), keys, [pos], bucket, {"_n": ("sum", F.col("_new"))})
     island = counted.withColumn("island", (F.col("_n") + F.col("_new")).cast("bigint"))
     return island.groupBy(*keys, "island").agg(
         *[F.min_by(c, pos).alias(c) for c in same], F.min(pos).alias(pos), F.count("*").alias("merged"),

@@ -312,8 +312,8 @@ sv as (select query_id, service, min(rank) coarse_rank from co join tools using(
 sc2 as materialized (select source service, list(m order by p) c from (select source, p, avg(embedding[p]::double) m from embeddings join documents on doc_id = vec_id, generate_series(1,64) g(p) group by all) group by all),
 fs as (select sv.query_id, service, round(list_cosine_similarity(q, c),6) score from sv join qv on 'i' || qv.query_id = sv.query_id join sc2 using(service)),
 fo as (select sv.query_id, service, coarse_rank, case when sv.query_id in (select query_id from fs) then coalesce(fs.score, 0.0) end fine from sv left join fs using(query_id, service)),
-tp as ({topk_sql('fo', S_LIMIT, 'fine desc nulls last, coarse_rank')})
-select query_id, service, rank, name, item_id from tp join tools using(service)""")
+tp as ({topk_sql('fo', S_LIMIT, 'fine desc nulls last, coarse_rank')}), mt as (select service, count(*) tools from tools group by 1)
+select query_id, service, rank, tools from tp join mt using(service)""")
 def ret10(spark, d):
     from lexweave.functions.vectors import centroid
     tools = doc_tools(spark, d)
@@ -322,15 +322,13 @@ def ret10(spark, d):
     vec = centroid(table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id").join(tools.select("item_id", "service"), "item_id"), "service", "embedding", "c")
     scores = svc.join(qv, "query_id").join(vec, "service").select("query_id", "service", F.round(cosine(F.col("embedding"), F.col("c")), 6).alias("score"))
     top = ct.fine_order(svc, scores, "service", S_LIMIT)
-    return top.select("query_id", "service", "rank").join(tools.select("service", "name", "item_id"), "service")
+    # Member tools stay in their own table; a result row names the service and how many it has.
+    return top.select("query_id", "service", "rank").join(tools.groupBy("service").agg(F.count("*").alias("tools")), "service")
 
 
 @query("top9_limits", """select n_nationkey, greatest(1, least(case n_nationkey when 0 then 5 else n_nationkey end, 20))::int tool_limit, greatest(20, 4*greatest(1, least(case n_nationkey when 0 then 5 else n_nationkey end, 20)))::int tool_pool,
  greatest(1, least(case n_nationkey when 0 then 5 else n_nationkey end, 10))::int svc_limit, greatest(30, 8*greatest(1, least(case n_nationkey when 0 then 5 else n_nationkey end, 10)))::int svc_pool from nation""")
 def top9(spark, d):
     asked = F.when(F.col("n_nationkey") == 0, F.lit(5)).otherwise(F.col("n_nationkey"))
-    def clamp(hi, base, factor):
-        lim = F.greatest(F.lit(1), F.least(asked, F.lit(hi)))
-        return lim, F.greatest(F.lit(base), lim * factor)
-    t, s = clamp(20, 20, 4), clamp(10, 30, 8)
+    t, s = rt.tool_limits(asked), rt.service_limits(asked)
     return table(spark, d, "nation").select("n_nationkey", t[0].alias("tool_limit"), t[1].alias("tool_pool"), s[0].alias("svc_limit"), s[1].alias("svc_pool"))

@@ -102,9 +102,12 @@ def join7_term_match(spark, d):
 
 # --- BM25 -------------------------------------------------------------------------------------
 
-@query("ret1_bm25_scores", f"with {bm25_sql()} select query_id, item_id, score from sc")
+@query("ret1_bm25_scores", f"with {bm25_sql()} select item_id, count(*) queries, max(score) best, sum(score::decimal(18,6))::double total from sc group by 1")
 def ret1_bm25_scores(spark, d):
-    return rt.bm25_scores(chunks(spark, d), items(spark, d))
+    """What the full list of scores says of each document; the list of pairs itself is not given out."""
+    scores = rt.bm25_scores(chunks(spark, d), items(spark, d))
+    return scores.groupBy("item_id").agg(F.count("*").alias("queries"), F.max("score").alias("best"),
+                                         F.sum(F.col("score").cast("decimal(18,6)")).cast("double").alias("total"))
 
 
 @query("ret1_bm25_topk", f"with {bm25_sql()} {topk_sql('sc', 10)}")

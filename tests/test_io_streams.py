@@ -160,3 +160,35 @@ def test_tool_description():
     assert tl.call(greet, {"name": "x", "times": None}) == "xx"
     with pytest.raises(ValueError):
         tl.describe(lambda x: x)
+
+
+def test_index_goes_on_after_a_restart(spark, tmp_path):
+    from lexweave.streaming import jobs
+    schema = "tenant string, doc_id string, text string"
+    arrive = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: jobs.maintain_index(spark, jobs.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), str(tmp_path / "ix"))
+    df = lambda: {r["term"]: r["df"] for r in jobs.index_terms(spark, str(tmp_path / "ix")).collect()}
+    corpus = lambda: jobs.index_corpus(spark, str(tmp_path / "ix")).first()["n"]
+    arrive([("t", f"d{i}", "common word") for i in range(20)])
+    run()
+    assert df()["common"] == 20 and corpus() == 20
+    arrive([("t", "d20", "common other")])
+    run()
+    assert df() == {"common": 21, "word": 20, "other": 1} and corpus() == 21
+    arrive([("t", "d0", None), ("t", "d1", "other text")])
+    run()
+    assert df() == {"common": 19, "word": 18, "other": 2, "text": 1} and corpus() == 20
+
+
+def test_writers_keep_earlier_data(spark, tmp_path):
+    from lexweave.sources import sinks as sk
+    for name in ("a.txt", "b.txt"):
+        sk.save_texts(spark.createDataFrame([(name, name * 2)], "name string, text string"), str(tmp_path / "t"))
+    assert {(r["file"], r["value"]) for r in spark.read.text(str(tmp_path / "t")).collect()} == {("a.txt", "a.txta.txt"), ("b.txt", "b.txtb.txt")}
+    log = lambda turn, version: spark.createDataFrame(
+        [("t", "s", turn, version, f"2024-01-0{turn + version} 00:00:00", f"u{turn}{version}")], "tenant string, session_id string, turn int, version int, ts string, user_content string"
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    for turn, version in ((0, 1), (1, 1), (1, 2)):
+        sk.write_sessions(log(turn, version), str(tmp_path / "s"))
+    got = {(r["turn"], r["user_content"]) for r in spark.read.parquet(str(tmp_path / "s/turns")).collect()}
+    assert got == {(0, "u01"), (1, "u12")}
