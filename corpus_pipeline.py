@@ -29,7 +29,7 @@ def _columns(docs: DataFrame) -> list[str]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language stay; null texts, texts without a letter and texts of no clear language go."""
     packed = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text"))
-    told = identify(packed, fit(docs), ["row", "text"])
+    told = identify(packed, fit(docs), ["row"])
     return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
