@@ -8,10 +8,11 @@ sequence; without words it is empty and links with nothing. Documents link when
    exponentially distributed hashes, truncated to powers of `BASE`. Registers of parts merge by their maximum.
 2. Documents of equal sets become one node. A node's registers are cut into bands; nodes that share a band meet.
 3. Inside a bucket no pair list is made. `STAR_BANDS` first meet only a hashed centre of each bucket, then all bands
-   do. Copies and near copies have merged by then. Nodes whose buckets still hold several components go through an
+   do. Copies and most near copies have merged by then. Nodes whose buckets still hold several components go through an
    exact filter on their full sets: to reach the threshold, two sets of different components must share one of their
    rarest shingles early enough that the rest can still hold the needed overlap. Shingles found in one component only
-   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has.
+   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has. Here too a hashed centre of the
+   largest component comes first, and then all that is still apart.
 4. Every pair gets a joint likelihood estimate of its similarity from the registers and exact set sizes; pairs
    that lie `DEVIATIONS` standard errors below the threshold go, all others are confirmed on the full sets.
 
@@ -158,19 +159,18 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
                   .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the threshold on their full sets."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
-    held = _full_sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
-    side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+    return staged(both.filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"), "links")
 
 
-def _rare_meetings(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components (node, root) that the exact filter on rare shingles leaves.
+def _rare_tokens(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, i, shingle) of the shingles of nodes in different components that can begin an overlap.
 
     With sizes n and m a link needs an overlap of at least percent * (n + m) / (100 + percent). A node's shingles are
     ordered by (found in one component only, frequency, value); if the first common shingle stands after i of n shingles,
@@ -182,13 +182,23 @@ def _rare_meetings(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ranked = (tokens.join(spread, "shingle").groupBy("node", "root", "n")
               .agg(F.array_sort(F.collect_list(F.struct(~F.col("alone"), "df", "shingle", "alone"))).alias("order"))
               .select("node", "root", "n", F.posexplode("order").alias("i", "token"))
-              .filter(~F.col("token.alone") & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n")))
-              .select("node", "root", "n", "i", F.col("token.shingle").alias("shingle")))
-    ranked = staged(ranked, "rare")
+              .filter(~F.col("token.alone") & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n"))))
+    return staged(ranked.select("node", "root", "n", "i", F.col("token.shingle").alias("shingle")), "rare")
+
+
+def _rare_pairs(ranked: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a rare shingle in time.
+
+    Nodes outside a shingle's largest component meet all others there; with `stars`, one hashed node of that
+    component only.
+    """
     parts = ranked.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     most = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("parts > 1")
     right = ranked.join(most.select("shingle", "most"), "shingle")
     left = right.filter(F.col("root") != F.col("most")).select("shingle", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "i")])
+    if stars:
+        centre = F.min_by(F.struct("node", "root", "n", "i", "most"), F.xxhash64("node", "shingle"))
+        right = right.filter(F.col("root") == F.col("most")).groupBy("shingle").agg(centre.alias("c")).select("shingle", "c.*")
     fits = lambda n, i: (100 + percent) * (F.col(n) - F.col(i)) >= percent * (F.col("n") + F.col("l_n"))
     met = left.join(right, "shingle").filter((F.col("l_root") != F.col("root")) & fits("n", "i") & fits("l_n", "l_i")
                                              & ((F.col("root") == F.col("most")) | (F.col("l_node") < F.col("node"))))
@@ -206,32 +216,33 @@ def node_links(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col:
     # Only the keys that two nodes share can link anything.
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = staged(members.join(shared, "key", "left_semi"), "bands")
-
-    def stars(rows: DataFrame, salt: int, roots: DataFrame | None) -> DataFrame:
-        order = F.xxhash64("node", "key", F.lit(salt))
-        centres = rows.groupBy("key").agg(F.min_by("node", order).alias("centre"))
-        pairs = (rows.join(centres, "key").filter(F.col("node") != F.col("centre"))
-                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        if roots is None:
-            return pairs
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return known.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    first = staged(stars(members.filter(F.col("band") < STAR_BANDS), 1, None), "star")
-    links = staged(_confirmed(first, nodes, docs, percent, id_col, text_col), "links")
-    roots = components(links)
-    second = staged(stars(members, 2, roots).join(first, ["a", "b"], "left_anti"), "star")
-    links = staged(links.unionAll(_confirmed(second, nodes, docs, percent, id_col, text_col)), "links")
-    roots = components(links)
+    # Texts travel once: the full sets of all nodes that share a band are stored for every later step.
+    sets = _full_sets(members.select("node").distinct(), nodes, docs, id_col, text_col)
+    rooted = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def stars(rows: DataFrame, salt: int) -> DataFrame:
+        """Members meet the hashed centre of each of their buckets if it lies in another component."""
+        centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(salt)))
+        centres = rows.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+        return (rows.join(centres, "key").filter(F.col("root") != F.col("centre_root"))
+                .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+
+    tested = staged(stars(members.filter(F.col("band") < STAR_BANDS).withColumn("root", F.col("node")), 1), "star")
+    links = _confirmed(tested, nodes, sets, percent)
+    placed = staged(rooted(members, components(links)), "placed")
+    second = staged(stars(placed, 2).join(tested, ["a", "b"], "left_anti"), "star")
+    tested, links = tested.unionAll(second), links.unionAll(_confirmed(second, nodes, sets, percent))
 
     # Nodes whose buckets still hold several components.
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
-    apart = staged(placed.join(parts, "key", "left_semi").select("node", "root").distinct(), "apart")
-    sets = _full_sets(apart.select("node"), nodes, docs, id_col, text_col)
-    met = staged(_rare_meetings(apart, sets, percent).join(first.unionAll(second), ["a", "b"], "left_anti"), "rest")
-    return nodes, staged(links.unionAll(_confirmed(met, nodes, docs, percent, id_col, text_col)), "links")
+    placed = rooted(members.select("key", "node"), components(links))
+    several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
+    apart = staged(placed.join(several, "key", "left_semi").select("node", "root").distinct(), "apart")
+    ranked = _rare_tokens(apart, sets, percent)
+    third = staged(_rare_pairs(ranked, percent, stars=True).join(tested, ["a", "b"], "left_anti"), "star")
+    tested, links = tested.unionAll(third), links.unionAll(_confirmed(third, nodes, sets, percent))
+    ranked = staged(rooted(ranked.drop("root"), components(links)), "rare")
+    rest = staged(_rare_pairs(ranked, percent, stars=False).join(tested, ["a", "b"], "left_anti"), "rest")
+    return nodes, links.unionAll(_confirmed(rest, nodes, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
