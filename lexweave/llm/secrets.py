@@ -55,46 +55,60 @@ def _floor(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0))
 
 
-def battery(value: Column) -> Column:
-    """Struct of encoding, n, the p-values uniform, runs, serial, fisher (null: random) and text (null: text)."""
-    plain = F.regexp_replace(F.translate(value, "-_", "+/"), "=+$", "")
-
-    def tests(name: str, alphabet: str) -> Column:
-        k = len(alphabet)
-        v = F.lower(plain) if name in ("hex", "base36") else plain
-        v = F.translate(v, "=", "")
-        n = F.length(v).cast("double")
-        counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: F.length(v) - F.length(F.replace(v, c, F.lit(""))))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-        chi = squares * k / n - n
-        # Wilson and Hilferty: the cube root of chi-squared per degree of freedom is nearly normal.
-        spread = 2.0 / (9 * (k - 1))
-        uniform = _upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / (k - 1)) - (1 - spread)) / math.sqrt(spread))
-        halves = F.translate(v, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
-        ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-        mean = 2 * ones * (n - ones) / n + 1
-        variance = (mean - 1) * (mean - 2) / (n - 1)
-        turns = F.regexp_count(halves, F.lit("0+|1+")).cast("double")
-        runs = F.when(variance > 0, 2 * _upper_tail(F.abs(turns - mean) / F.sqrt(F.nullif(F.greatest(variance, F.lit(0.0)), F.lit(0.0))))).otherwise(F.lit(0.0))
-        places = F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        total = F.aggregate(places, F.lit(0.0), lambda a, x: a + x)
-        power = F.aggregate(places, F.lit(0.0), lambda a, x: a + x * x) - total * total / n
-        lagged = F.zip_with(F.slice(places, 1, F.length(v) - 1), F.slice(places, 2, F.length(v) - 1), lambda x, y: (x - total / n) * (y - total / n))
-        serial_r = F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x) / F.nullif(power, F.lit(0.0))
-        serial = F.coalesce(2 * _upper_tail(F.abs(serial_r + 1 / n) * F.sqrt(n)), F.lit(0.0))
-        half = -(F.ln(_floor(uniform)) + F.ln(_floor(runs)) + F.ln(_floor(serial)))
-        fisher = F.exp(-half) * (1 + half + half * half / 2)
-        pairs, equal = n * (n - 1) / 2, (squares - n) / 2
-        deviation = F.sqrt(pairs * TEXT_PAIRS * (1 - TEXT_PAIRS) + n * (n - 1) * (n - 2) * (TEXT_TRIPLES - TEXT_PAIRS ** 2))
-        text = _upper_tail((pairs * TEXT_PAIRS - equal) / deviation)
-        return F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n"), uniform.alias("uniform"), runs.alias("runs"),
-                        serial.alias("serial"), fisher.alias("fisher"), _floor(text).alias("text"))
-
-    name, _, alphabet = ENCODINGS[-1]
-    out = tests(name, alphabet)
-    for name, pattern, alphabet in reversed(ENCODINGS[:-1]):
-        out = F.when(plain.rlike(pattern), tests(name, alphabet)).otherwise(out)
-    return out
+def battery(tokens: Column) -> Column:
+    """Every token (start, end, value) with its tests: encoding, n, the p-values uniform, runs, serial, fisher (null
+    hypothesis: random) and text (null hypothesis: text).
+
+    The tests are built up in steps over the array, so that each step's terms appear once.
+    """
+    kept: list[str] = ["start", "end", "value"]
+
+    def step(array: Column, **made) -> Column:
+        names = list(kept)
+        out = F.transform(array, lambda t: F.struct(*[t[c].alias(c) for c in names], *[make(t).alias(c) for c, make in made.items()]))
+        kept.extend(c for c in made if c not in kept)
+        return out
+
+    def chosen(values: list, t: Column) -> Column:
+        out = F.lit(values[-1])
+        for (_, pattern, _), value in list(zip(ENCODINGS, values))[-2::-1]:
+            out = F.when(t["plain"].rlike(pattern), F.lit(value)).otherwise(out)
+        return out
+
+    out = step(tokens, plain=lambda t: F.regexp_replace(F.translate(t["value"], "-_", "+/"), "=+$", ""))
+    out = step(out, encoding=lambda t: chosen([e[0] for e in ENCODINGS], t), alphabet=lambda t: chosen([e[2] for e in ENCODINGS], t))
+    out = step(out, v=lambda t: F.translate(F.when(t["encoding"].isin("hex", "base36"), F.lower(t["plain"])).otherwise(t["plain"]), "=", ""))
+    out = step(out, n=lambda t: F.length(t["v"]).cast("double"), k=lambda t: F.length(t["alphabet"]).cast("double"),
+               # Which half of the alphabet each character lies in, as zeros and ones.
+               halves=lambda t: F.call_function("translate", t["v"], t["alphabet"], F.concat(
+                   F.repeat(F.lit("0"), F.floor(F.length(t["alphabet"]) / 2).cast("int")), F.repeat(F.lit("1"), F.ceil(F.length(t["alphabet"]) / 2).cast("int")))),
+               places=lambda t: F.transform(F.filter(F.split(t["v"], ""), lambda c: c != ""), lambda c: F.instr(t["alphabet"], c).cast("double")),
+               squares=lambda t: F.aggregate(F.split(t["alphabet"], ""), F.lit(0.0), lambda acc, c: acc + F.pow(
+                   (F.length(t["v"]) - F.length(F.replace(t["v"], c, F.lit("")))).cast("double"), F.lit(2.0))))
+    out = step(out, ones=lambda t: F.length(F.replace(t["halves"], F.lit("0"), F.lit(""))).cast("double"),
+               turns=lambda t: F.regexp_count(t["halves"], F.lit("0+|1+")).cast("double"),
+               centre=lambda t: F.aggregate(t["places"], F.lit(0.0), lambda acc, x: acc + x) / t["n"],
+               chi=lambda t: F.greatest(t["squares"] * t["k"] / t["n"] - t["n"], F.lit(0.0)))
+    out = step(out, mean=lambda t: 2 * t["ones"] * (t["n"] - t["ones"]) / t["n"] + 1, spread=lambda t: 2.0 / (9 * (t["k"] - 1)),
+               power=lambda t: F.aggregate(t["places"], F.lit(0.0), lambda acc, x: acc + (x - t["centre"]) * (x - t["centre"])),
+               lagged=lambda t: F.aggregate(F.zip_with(F.slice(t["places"], 1, F.length(t["v"]) - 1), F.slice(t["places"], 2, F.length(t["v"]) - 1),
+                                                       lambda x, y: (x - t["centre"]) * (y - t["centre"])), F.lit(0.0), lambda acc, x: acc + x))
+    kept[:] = [c for c in kept if c not in ("plain", "alphabet", "v", "halves", "places")]
+    out = step(out, variance=lambda t: F.greatest((t["mean"] - 1) * (t["mean"] - 2) / (t["n"] - 1), F.lit(0.0)),
+               # Wilson and Hilferty: the cube root of chi-squared per degree of freedom is nearly normal.
+               z_uniform=lambda t: (F.cbrt(t["chi"] / (t["k"] - 1)) - (1 - t["spread"])) / F.sqrt(t["spread"]),
+               z_serial=lambda t: F.abs(t["lagged"] / F.nullif(t["power"], F.lit(0.0)) + 1 / t["n"]) * F.sqrt(t["n"]),
+               pairs=lambda t: t["n"] * (t["n"] - 1) / 2, equal=lambda t: (t["squares"] - t["n"]) / 2)
+    out = step(out, z_runs=lambda t: F.abs(t["turns"] - t["mean"]) / F.sqrt(F.nullif(t["variance"], F.lit(0.0))),
+               z_text=lambda t: (t["pairs"] * TEXT_PAIRS - t["equal"]) / F.sqrt(
+                   t["pairs"] * TEXT_PAIRS * (1 - TEXT_PAIRS) + t["n"] * (t["n"] - 1) * (t["n"] - 2) * (TEXT_TRIPLES - TEXT_PAIRS ** 2)))
+    kept[:] = ["start", "end", "value", "encoding", "n", "z_uniform", "z_runs", "z_serial", "z_text"]
+    # A token without variation has no runs or serial value; it is not random.
+    out = step(out, uniform=lambda t: _floor(_upper_tail(t["z_uniform"])), runs=lambda t: _floor(F.coalesce(2 * _upper_tail(t["z_runs"]), F.lit(0.0))),
+               serial=lambda t: _floor(F.coalesce(2 * _upper_tail(t["z_serial"]), F.lit(0.0))), text=lambda t: _floor(_upper_tail(t["z_text"])))
+    kept[:] = ["start", "end", "value", "encoding", "n", "uniform", "runs", "serial", "text"]
+    out = step(out, half=lambda t: -(F.ln(t["uniform"]) + F.ln(t["runs"]) + F.ln(t["serial"])))
+    return step(out, fisher=lambda t: F.exp(-t["half"]) * (1 + t["half"] + t["half"] * t["half"] / 2))
 
 
 def _placed(text: Column, pattern: str, found: Column) -> Column:
@@ -116,7 +130,6 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, base, tokens): per row of docs its fixed-form spans and its tested tokens outside of them."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # A cheap test of the whole text first: most texts hold none of the forms.
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"))
     found = read.select("row", "body", *[F.regexp_extract_all("body", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate([ASSIGN, ACCESS, HEX, TOKEN])])
     placed = found.select("row", *[_placed(F.col("body"), p, F.col(f"m{i}")).alias(f"p{i}") for i, p in enumerate([ASSIGN, ACCESS, HEX, TOKEN])])
@@ -126,12 +139,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     bare = based.select("row", "base", F.filter("p3", lambda s: mixed(s) & apart(s)).alias("bare"))
-    tested = F.transform("bare", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), battery(s["value"]).alias("tests")))
-    return bare.select("row", "base", tested.alias("tokens"))
+    return bare.select("row", "base", battery(F.col("bare")).alias("tokens"))
 
 
 def _family(t: Column) -> Column:
-    return F.concat_ws(":", t["encoding"], F.floor(F.log2(t["n"].cast("double"))).cast("string"))
+    return F.concat_ws(":", t["encoding"], F.floor(F.log2(t["n"])).cast("string"))
 
 
 def _bin(t: Column) -> Column:
@@ -144,7 +156,7 @@ def discovery_bins(found: DataFrame) -> DataFrame:
     p-values are counted in bins of a tenth of a decade, taken at their upper ends, so a table of all candidates shrinks
     to at most (encodings * doublings of length * bins) counts before it is ordered.
     """
-    tests = found.select(F.explode("tokens.tests").alias("t")).select(_family(F.col("t")).alias("family"), _bin(F.col("t")).alias("bin"))
+    tests = found.select(F.explode("tokens").alias("t")).select(_family(F.col("t")).alias("family"), _bin(F.col("t")).alias("bin"))
     counts = tests.groupBy("family", "bin").agg(F.count("*").alias("n"))
     within = Window.partitionBy("family")
     beyond = within.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -162,7 +174,7 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     found = staged(candidates(docs, text), "candidates")
     bins = discovery_bins(found).scalar()
     judged = found.withColumn("_bins", bins)
-    secret = lambda s: (s["tests"]["fisher"] >= BATTERY) & F.coalesce(_bin(s["tests"]) >= F.try_element_at(F.col("_bins"), _family(s["tests"])), F.lit(False))
+    secret = lambda s: (s["fisher"] >= BATTERY) & F.coalesce(_bin(s) >= F.try_element_at(F.col("_bins"), _family(s)), F.lit(False))
     return judged.select("row", "base", F.filter("tokens", secret).alias("random"))
 
 
