@@ -90,11 +90,13 @@ def direct_licences(docs: DataFrame, text: str = "text", least: float = LEAST) -
 def licensed(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(row, licence, score, via, inherited_from): via is header, directory or none; inherited_from is a directory.
 
+    `row` holds the columns of docs but the text, which is not moved: only its key is joined on.
+
     A path's directory is what stands before its last slash; the root is the empty directory. A null path is outside of
     any directory and inherits nothing. If a directory holds several licence files, the best score, then the
     least licence name counts. Null text has no licence of its own. Repeated rows get equal answers.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(path).alias("path"), _key(F.col(text).cast("string")).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col(path).alias("path"), _key(F.col(text).cast("string")).alias("key"))
     found = staged(rows.join(direct_licences(docs, text), "key", "left").drop("key"), "found")
     directory = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
     filed = found.withColumn("directory", directory)
