@@ -208,10 +208,13 @@ def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return vocab.join(bounded_broadcast(cut(match), 1_000_000), "token").select("query_id", F.col("doc_id").alias("item_id")).distinct()
 
 
-def catalog_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Catalog BM25, positive scores only; a query without any gets 0.1 for every substring hit."""
+def catalog_scores(docs: DataFrame, queries: DataFrame, index: ix.Index | None = None) -> DataFrame:
+    """Catalog BM25, positive scores only; a query without any gets 0.1 for every substring hit.
+
+    `index`, if given, is the stored index of docs by catalog tokens.
+    """
     # Read twice below: once for the result, once to find the queries without a hit.
-    scored = cut(rt.bm25_scores(docs, queries, tx.catalog_tokens, catalog=True))
+    scored = cut(rt.bm25_scores(index or docs, queries, tx.catalog_tokens, catalog=True))
     missed = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
     terms = cut(ix.query_terms(missed, tx.catalog_tokens))
     if terms.isEmpty():
@@ -220,13 +223,14 @@ def catalog_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.unionByName(loose.select(*scored.columns))
 
 
-def coarse(docs: DataFrame, queries: DataFrame, dense: DataFrame, pool: int) -> DataFrame:
+def coarse(docs: DataFrame, queries: DataFrame, dense: DataFrame, pool: int, index: ix.Index | None = None) -> DataFrame:
     """Fused coarse list; `dense` must be `retrieve.dense_pool(pool)` deep.
 
     The inputs are read several times by the fusion and the result by the tiers behind it, so each is
     written once to the shared checkpoint folder.
     """
-    return cut(rt.weighted_fusion(cut(catalog_scores(docs, queries)), cut(dense), pool))
+    scores = catalog_scores(docs, queries, index)
+    return cut(rt.weighted_fusion(scores, cut(dense), pool))
 
 
 def fine_order(candidates: DataFrame, scores: DataFrame, item: str, limit: int) -> DataFrame:

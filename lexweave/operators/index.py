@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import rag_tokens, token_count
@@ -71,6 +72,43 @@ def postings_and_lengths(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer
     return both.filter(F.col("term") != DOCUMENT_ROW), corpus_stats(both.filter(F.col("term") == DOCUMENT_ROW))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored index tables: postings(tenant, doc_id, term, tf, dl), docs(tenant, doc_id, dl), terms(tenant, term, df),
+    corpus(tenant, n, avgdl). Every search reads only the postings of its own terms."""
+
+    postings: DataFrame
+    docs: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+    def select(self, *cols) -> DataFrame:
+        """Columns of the documents, as of the texts that were indexed."""
+        return self.docs.select(*cols)
+
+
+def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = rag_tokens) -> None:
+    """Tokenise docs(tenant, doc_id, text) once and store the index below `path`.
+
+    Postings lie in files by ranges of (tenant, term), so a reader with few terms skips most row groups.
+    """
+    spark = docs.sparkSession
+    marked = tokenized(docs, tokenizer).withColumn("tokens", F.concat("tokens", F.array(F.lit(DOCUMENT_ROW))))
+    counted = exploded(marked, ["tenant", "doc_id", "dl"], F.col("tokens"), "term").groupBy("tenant", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    (counted.withColumn("kind", F.when(F.col("term") == DOCUMENT_ROW, "docs").otherwise("postings"))
+     .repartitionByRange("tenant", "term", "doc_id").sortWithinPartitions("kind", "tenant", "term").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows"))
+    stored = spark.read.schema(counted.schema).parquet(f"{path}/rows/kind=postings")
+    term_stats(stored).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths = spark.read.schema(counted.schema).parquet(f"{path}/rows/kind=docs")
+    corpus_stats(lengths).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    rows = lambda kind: spark.read.parquet(f"{path}/rows").filter(F.col("kind") == kind)
+    return Index(rows("postings").select("tenant", "doc_id", "term", "tf", "dl"), rows("docs").select("tenant", "doc_id", "dl"),
+                 spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
+
+
 def merge_term_stats(old: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """New df table from the old one and the postings that came and went."""
     parts = old.select("tenant", "term", "df").unionByName(term_stats(added))

@@ -44,10 +44,12 @@ def _length_norm(dl: Column, avgdl: Column, catalog: bool) -> Column:
     return dl / F.greatest(avgdl, F.lit(1.0)) if catalog else dl / (avgdl + 1e-9)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, tokenizer=rag_tokens, catalog: bool = False,
+def bm25_scores(docs: DataFrame | ix.Index, queries: DataFrame, tokenizer=rag_tokens, catalog: bool = False,
                 digits: int = 6) -> DataFrame:
-    """(query_id, item_id, score > 0) for every matching pair, built straight from the texts."""
+    """(query_id, item_id, score > 0) for every matching pair, from a stored index or straight from the texts."""
     terms = ix.query_terms(queries, tokenizer)
+    if isinstance(docs, ix.Index):
+        return score_postings(terms, docs.postings, docs.terms, docs.corpus, catalog, digits)
     post, corpus = ix.postings_and_lengths(docs, terms, tokenizer)
     return score_postings(terms, post, ix.term_stats(post), corpus, catalog, digits)
 
@@ -75,7 +77,7 @@ def score_postings(terms: DataFrame, post: DataFrame, dfs: DataFrame, corpus: Da
             .filter("score > 0"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, tokenizer=rag_tokens, zero_fill: bool = False) -> DataFrame:
+def bm25_topk(docs: DataFrame | ix.Index, queries: DataFrame, k: int, tokenizer=rag_tokens, zero_fill: bool = False) -> DataFrame:
     """Best k documents per query. `zero_fill` completes short lists with unmatched documents by id."""
     hits = top_k(bm25_scores(docs, queries, tokenizer), ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
     if not zero_fill:
@@ -112,7 +114,7 @@ def fuse_routes(lexical: DataFrame, vector: DataFrame, keys: tuple[str, ...] = (
     return rrf(lexical.select(*cols).unionByName(vector.select(*cols)), keys, k)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, vector_hits: DataFrame, top_n: int) -> DataFrame:
+def retrieve(docs: DataFrame | ix.Index, queries: DataFrame, vector_hits: DataFrame, top_n: int) -> DataFrame:
     """Keyword pool and vector list, fused and cut: (query_id, item_id, score, rank)."""
     lexical = bm25_topk(docs, queries, keyword_pool(top_n))
     return rank_hits(fuse_routes(lexical, vector_hits.filter(F.col("rank") <= top_n)), top_n)

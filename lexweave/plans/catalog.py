@@ -9,7 +9,7 @@ from lexweave.functions.vectors import cosine, vector_topk
 from lexweave.operators import catalog as ct
 from lexweave.operators import retrieve as rt
 from lexweave.plans.registry import query, table
-from lexweave.plans.retrieval import VEC_SQL, bm25_sql, doc_vectors, item_vectors, topk_sql
+from lexweave.plans.retrieval import VEC_SQL, bm25_sql, doc_vectors, item_vectors, stored_index, topk_sql
 from lexweave.plans.scalars import CAT_TOK
 
 TYPE_CASE = "case lang when 'en' then 'search' when 'fr' then 'research' when 'de' then 'media' else '' end"
@@ -259,10 +259,14 @@ fb as (select distinct query_id, item_id, 0.1::double score from ms join tools o
 sp as materialized (select query_id, item_id, score from sc union all select * from fb)"""
 
 
+def tool_index(spark, d, docs):
+    return stored_index(spark, d, "tools", docs, tx.catalog_tokens)
+
+
 @query("ret2_catalog_bm25", f"with {TOOLS_SQL}, {NAMES_SQL}, {CAT_SQL}, {FALL_SQL} {topk_sql('sp', 20)}")
 def ret2(spark, d):
     docs = ct.as_documents(doc_tools(spark, d), "item_id")
-    return rt.rank_hits(ct.catalog_scores(docs, name_queries(spark, d)), 20)
+    return rt.rank_hits(ct.catalog_scores(docs, name_queries(spark, d), tool_index(spark, d, docs)), 20)
 
 
 COARSE = f"""{TOOLS_SQL}, {NAMES_SQL}, {CAT_SQL}, {FALL_SQL}, {VEC_SQL},
@@ -277,7 +281,7 @@ def coarse_hits(spark, d, pool):
     docs = ct.as_documents(doc_tools(spark, d), "item_id")
     qv = item_vectors(spark, d).withColumn("query_id", F.concat(F.lit("i"), "query_id"))
     dense = vector_topk(qv, doc_vectors(spark, d), rt.dense_pool(pool), metric="cosine")
-    return ct.coarse(docs, name_queries(spark, d), dense, pool), qv
+    return ct.coarse(docs, name_queries(spark, d), dense, pool, tool_index(spark, d, docs)), qv
 
 
 @query("ret5_weighted_rrf", f"with {COARSE} {topk_sql('fz', 20)}")

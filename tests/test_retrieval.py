@@ -165,3 +165,14 @@ def test_merged_statistics_equal_rebuild(spark):
     assert {(r["term"], r["df"]) for r in merged.collect()} == want
     back = ix.merge_term_stats(merged, ix.postings(new.limit(0)), ix.postings(new))
     assert {(r["term"], r["df"]) for r in back.collect()} == {(r["term"], r["df"]) for r in ix.term_stats(ix.postings(old)).collect()}
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    from lexweave.operators import index as ix
+    docs, queries = frame(spark, DOCS, "doc_id"), frame(spark, ["birds", "a zzz", "the"], "query_id")
+    ix.build_index(docs, str(tmp_path / "ix"))
+    stored = ix.open_index(spark, str(tmp_path / "ix"))
+    scores = lambda source: sorted(tuple(r) for r in rt.bm25_scores(source, queries).collect())
+    assert scores(stored) == scores(docs)
+    filled = lambda source: sorted(tuple(r) for r in rt.bm25_topk(source, queries, 3, zero_fill=True).collect())
+    assert filled(stored) == filled(docs)
