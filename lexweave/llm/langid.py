@@ -238,7 +238,7 @@ def fit(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_
 
     tally = sample.select("lang", "text").mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     models = sorted(tally.groupBy("lang").applyInPandas(learn, "lang string, prob array<double>").collect(), key=lambda r: r["lang"])
-    return [r["lang"] for r in models], np.array([r["prob"] for r in models]).reshape(len(models), -1)
+    return [r["lang"] for r in models], np.array([r["prob"] for r in models]).reshape(len(models), -1 if models else 0)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexweave.llm import langid, ledger, queries, secrets  # noqa: F401
+from lexweave.llm import langid, ledger, queries, secrets, templates  # noqa: F401
 from lexweave.llm.registry import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -222,22 +222,19 @@ def test_op8_ablations(spark, sf):
         assert r["kept_without"] == sum(not b & ledger.mask([n for n in names if n != r["rule"]]) for b in bits)
 
 
-def test_op9(spark, sf, rows):
-    found = result(spark, sf, "op9_line_dedup")
+def brute_lines(texts):
+    """Text -> (line, words) pairs that go, by one reading of all distinct texts."""
     masked = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-    texts = {hashlib.md5((r[1] or "").encode()).digest(): r[1] or "" for r in rows}
+    held = {hashlib.md5(t.encode()).digest(): t for t in texts}
     order = lambda k: int.from_bytes(k[:8], "little", signed=True)
     exact, leaf = defaultdict(set), defaultdict(lambda: defaultdict(set))
-    for k, t in texts.items():
+    for k, t in held.items():
         for line in t.split("\n"):
             m = masked(line)
             if len(m) >= 3:
                 exact[m].add(k)
                 leaf[(len(m), m[:3])][m].add(k)
-
-    def cells(m):
-        out = np.zeros(64, np.uint8) if len(m) <= 64 else None
-        return m if out is not None else [tuple(m[i::64]) for i in range(64)]
+    folded = lambda m: [m[i::templates.PLACES] for i in range(min(len(m), templates.PLACES))]
 
     def recurs(keys, n):
         return len(keys) > 1 and (n >= 8 or len({order(k) % 64 for k in keys}) >= 8)
@@ -245,21 +242,31 @@ def test_op9(spark, sf, rows):
     def owner(m):
         group = leaf[(len(m), m[:3])]
         keys = set().union(*group.values())
-        columns = list(zip(*[cells(x) for x in group]))
-        if recurs(keys, len(m)) and sum(len(set(c)) > 1 for c in columns) <= 0.2 * min(len(m), 64):
+        columns = list(zip(*map(folded, group)))
+        if recurs(keys, len(m)) and sum(len(set(c)) > 1 for c in columns) <= 0.2 * len(columns):
             return min(keys, key=order)
         return min(exact[m], key=order) if recurs(exact[m], len(m)) else None
+    out = {}
+    for k, t in held.items():
+        gone = [(i, len(masked(p))) for i, p in enumerate(t.split("\n")) if len(masked(p)) >= 3 and owner(masked(p)) not in (None, k)]
+        out[t] = gone if sum(n for _, n in gone) <= 0.5 * len(WORD.findall(t)) else []
+    return out
+
+
+def without(text, gone):
+    drop = {i for i, _ in gone}
+    return "\n".join(p for i, p in enumerate(text.split("\n")) if i not in drop)
+
+
+def test_op9(spark, sf, rows):
+    found = result(spark, sf, "op9_line_dedup")
+    lost = brute_lines([r[1] or "" for r in rows])
     want = []
     for r in rows:
         t = r[1] or ""
-        k, parts = hashlib.md5(t.encode()).digest(), t.split("\n")
-        gone = [(i, len(masked(p))) for i, p in enumerate(parts) if len(masked(p)) >= 3 and owner(masked(p)) not in (None, k)]
-        if sum(n for _, n in gone) > 0.5 * len(WORD.findall(t)):
-            gone = []
-        drop = {i for i, _ in gone}
-        left = "\n".join(p for i, p in enumerate(parts) if i not in drop)
-        want.append((r[0], 0 if r[1] is None else len(parts), len(gone), sum(n for _, n in gone), ",".join(str(i) for i, _ in gone),
-                     None if r[1] is None else sha(left.encode())))
+        gone = lost[t]
+        want.append((r[0], 0 if r[1] is None else len(t.split("\n")), len(gone), sum(n for _, n in gone), ",".join(str(i) for i, _ in gone),
+                     None if r[1] is None else sha(without(t, gone).encode())))
     assert by_row(found, ["doc_id", "n_lines", "n_dropped", "words_dropped", "dropped", "text_sha256"]) == sorted(want, key=repr)
     assert sum(r["n_dropped"] for r in found) > 20
 
