@@ -90,14 +90,17 @@ def _costs(queries: np.ndarray, items: np.ndarray, metric: str, k: int) -> Itera
 
 def _best(k: int, metric: str, text_ids: bool):
     """Best k items per query and task, from rows that pair a block of queries with a pack of items."""
+    named: dict = {}  # a query id that is a struct arrives as a dict; its items stand for it
+
     def flush(best: dict, schema: pa.Schema) -> pa.RecordBatch:
-        rows = [(q, i, -c if metric == "cosine" else c) for q, found in best.items() for c, i in found]
+        rows = [(named[q], i, -c if metric == "cosine" else c) for q, found in best.items() for c, i in found]
         kinds = [schema.field("q_ids").type.value_type, schema.field("ids").type.value_type, pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["query_id", "item_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
         out = None
+        named.clear()
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch[c][r].as_py() for c in batch.schema.names}
@@ -107,8 +110,10 @@ def _best(k: int, metric: str, text_ids: bool):
                 pack = np.frombuffer(row["data"]).reshape(-1, row["dim"])
                 ids = np.array(row["ids"], dtype=object if text_ids else None)
                 for q, (at, cost) in zip(row["q_ids"], _costs(block, pack, metric, k)):
-                    merged = best.get(q, []) + list(zip(cost.tolist(), ids[at].tolist()))
-                    best[q] = heapq.nsmallest(k, merged)
+                    name = tuple(q.items()) if isinstance(q, dict) else q
+                    named[name] = q
+                    merged = best.get(name, []) + list(zip(cost.tolist(), ids[at].tolist()))
+                    best[name] = heapq.nsmallest(k, merged)
             out = batch.schema
             if len(best) * k > MAX_HELD:
                 yield flush(best, out)

@@ -153,6 +153,22 @@ def vote(variant_hits: DataFrame, top_n: int, k: int = RRF_K) -> DataFrame:
     return top_k(fused, ["query_id"], [F.col("score").desc(), F.col("item_id")], top_n)
 
 
+def multi_query(docs: DataFrame | ix.Index, variants: DataFrame, variant_hits: DataFrame, top_n: int,
+                rerank_scores: DataFrame | None = None) -> DataFrame:
+    """Every variant goes the whole way on its own, then the variants' final lists vote.
+
+    variants(tenant, query_id, variant, text); variant_hits(query_id, variant, item_id, rank) is the vector route of
+    each variant that has a vector; rerank_scores(query_id, variant, item_id, score) rescores each variant's list.
+    """
+    keyed = lambda df: df.withColumn("query_id", F.struct("query_id", "variant")).drop("variant")
+    lexical = bm25_topk(docs, keyed(variants), keyword_pool(top_n))
+    vector = keyed(variant_hits).filter(F.col("rank") <= top_n)
+    final = rank_hits(fuse_routes(lexical, vector), top_n if rerank_scores is None else RERANK_BATCH)
+    if rerank_scores is not None:
+        final = rerank(final, keyed(rerank_scores), top_n=top_n)
+    return vote(final.select("query_id.query_id", "query_id.variant", "item_id", "rank"), top_n)
+
+
 def context_text(hits: DataFrame, queries: DataFrame, separator: str = "\n\n---\n\n",
                  fallback: str = "未找到相关文档信息。") -> DataFrame:
     """One text per query from its (already cut) hits in rank order; a fallback line if there are none."""

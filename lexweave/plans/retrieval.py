@@ -288,17 +288,19 @@ def set2_query_variants(spark, d):
 @query("ret8_multi_query_vote", f"""with {VARIANT_SQL},
 vq as (select query_id*1000+variant query_id, text from va),
 {bm25_sql('vq')}, {VEC_SQL},
-lx as ({topk_sql('sc', 20)}), vx as ({VEC10}),
-ro as (select query_id, item_id, rank from lx union all select query_id*1000, item_id, rank from vx),
+lx as ({topk_sql('sc', 20)}),
+vv as materialized (select va.query_id*1000+variant query_id, embedding::double[] q from va join embeddings on vec_id = va.query_id + variant),
+v2 as materialized (select query_id, item_id, round(list_sum(list_transform(list_zip(q,v), lambda z: (z[1]-z[2])*(z[1]-z[2]))),6) score from vv, dv),
+vx as ({topk_sql('v2', 10, 'score, item_id')}),
+ro as (select query_id, item_id, rank from lx union all select query_id, item_id, rank from vx),
 fu as (select query_id, item_id, round(sum(1.0/(60+rank)),12) score from ro group by all),
 fi as ({topk_sql('fu', 10)}),
 vo as (select query_id//1000 query_id, item_id, round(sum(1.0/(60+rank)),12) score, min(query_id%1000)::int first_variant from fi group by query_id//1000, item_id)
 {topk_sql('vo', 10)}""")
 def ret8_multi_query_vote(spark, d):
+    """A variant's vector is the embedding its number further on from the item's own."""
     v = variants(spark, d)
-    keyed = v.select("tenant", F.struct("query_id", "variant").alias("query_id"), "text")
-    lexical = rt.bm25_topk(chunk_index(spark, d), keyed, rt.keyword_pool(10))
-    vector = vector_topk(item_vectors(spark, d), doc_vectors(spark, d), 10).withColumn(
-        "query_id", F.struct("query_id", F.lit(0).alias("variant")))
-    final = rt.rank_hits(rt.fuse_routes(lexical, vector), 10)
-    return rt.vote(final.select("query_id.query_id", "query_id.variant", "item_id", "rank"), 10)
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    vectors = v.join(emb, F.col("query_id") + F.col("variant") == F.col("vec_id")).select(F.struct("query_id", "variant").alias("query_id"), "embedding")
+    hits = vector_topk(vectors, doc_vectors(spark, d), 10).select("query_id.query_id", "query_id.variant", "item_id", "rank")
+    return rt.multi_query(chunk_index(spark, d), v, hits, 10)
