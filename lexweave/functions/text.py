@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The Unicode blanks, spelled out because regex engines disagree about \s.
 BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -214,6 +215,20 @@ def expand_env(c: Column, env: Column) -> Column:
     return F.array_join(F.zip_with(pieces, looked, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
 
 
+def expand_env_in(value: Column, kind: T.DataType, env: Column) -> Column:
+    """`expand_env` in a string, and in every string of a list, map (values) or struct; other types come back as they are."""
+    if isinstance(kind, T.StringType):
+        return expand_env(value, env)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: expand_env_in(x, kind.elementType, env))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: expand_env_in(x, kind.valueType, env))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[expand_env_in(value[f.name], f.dataType, env).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
+
+
 def chunk_uid(doc: Column, index: Column) -> Column:
     return F.concat_ws(":", doc.cast("string"), index.cast("string"))
 

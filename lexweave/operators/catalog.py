@@ -5,6 +5,8 @@ tools(name, description, params map, service, service_description, type_slug, or
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +190,12 @@ def as_documents(tools: DataFrame, item: str) -> DataFrame:
                         F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).alias("hay"))
 
 
+def catalog_union(sources: list[tuple[str, bool, DataFrame]]) -> DataFrame:
+    """Rows of all sources (name, editable, rows) with where they come from and whether they may be changed."""
+    marked = [df.withColumn("source", F.lit(name)).withColumn("editable", F.lit(editable)) for name, editable, df in sources]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+
+
 def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Documents whose `hay` contains one of a query's terms: (query_id, item_id).
 

@@ -73,3 +73,13 @@ def recent(meta: DataFrame, n: int = 5) -> DataFrame:
 
 def not_blank(c: Column) -> Column:
     return F.length(strip_blank(F.coalesce(c, F.lit("")))) > 0
+
+
+def tenant_of(own: Column) -> Column:
+    """A row's tenant; a row without one belongs to `default`."""
+    return F.coalesce(own, F.lit("default"))
+
+
+def in_tenant(own: Column, asked: Column) -> Column:
+    """Whether a row of tenant `own` may be seen by tenant `asked`; either may be missing. On a partition column it prunes."""
+    return tenant_of(own) == tenant_of(asked)

@@ -198,10 +198,8 @@ def ret12(spark, d):
 
 @query("set1_catalog_union", """select p_partkey, p_name, case when p_size > 25 then 'user' else 'builtin' end source, p_size > 25 editable from part""")
 def set1(spark, d):
-    p = table(spark, d, "part")
-    parts = [p.filter("p_size <= 25").select("p_partkey", "p_name", F.lit("builtin").alias("source"), F.lit(False).alias("editable")),
-             p.filter("p_size > 25").select("p_partkey", "p_name", F.lit("user").alias("source"), F.lit(True).alias("editable"))]
-    return parts[0].unionByName(parts[1])
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return ct.catalog_union([("builtin", False, p.filter("p_size <= 25")), ("user", True, p.filter("p_size > 25"))]).drop("p_size")
 
 
 def skills(spark, d):

@@ -38,8 +38,8 @@ def flt2(spark, d):
 @query("flt4_tenant_scope", "select doc_id, source tenant, case when lang = 'es' then 'default' when lang = 'de' then 'other' else source end own_tenant, case when lang in ('es','de') then false else true end admitted from documents")
 def flt4(spark, d):
     own = F.when(F.col("lang") == "de", F.lit("other")).when(F.col("lang") != "es", F.col("source"))
-    t = F.coalesce(own, F.lit("default"))
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant"), t.alias("own_tenant"), (t == F.col("source")).alias("admitted"))
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant"), dc.tenant_of(own).alias("own_tenant"),
+                                               dc.in_tenant(own, F.col("source")).alias("admitted"))
 
 
 @query("flt6_not_blank", f"select conv_id, turn, role from (select *, case role when 'system' then chr(12288) || chr(10) || ' ' else text end t from conversations) where length(regexp_replace(t, '{BLANK}', '', 'g')) > 0")

@@ -185,10 +185,15 @@ def str25(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.numbered_items(raw, 3), "|").alias("subs"))
 
 
-@query("str28_expand_env", """select c_custkey, 'run ' || c_mktsegment || '/bin:' || c_name || '-' || c_mktsegment || ' $HOME ${NOPE} end' out from customer""")
+@query("str28_expand_env", """select c_custkey, 'run ' || c_mktsegment || '/bin:' || c_name || '-' || c_mktsegment || ' $HOME ${NOPE} end' out,
+ 'x' || c_name || '|' || c_mktsegment args, 'in ' || c_name env_value from customer""")
 def str28(spark, d):
     env = F.create_map(F.lit("SEG"), F.col("c_mktsegment"), F.lit("NAME"), F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", tx.expand_env(F.lit("run ${SEG}/bin:$NAME-${SEG} $HOME ${NOPE} end"), env).alias("out"))
+    server = F.struct(F.array(F.lit("x${NAME}"), F.lit("$SEG")).alias("args"), F.create_map(F.lit("K"), F.lit("in $NAME")).alias("env"))
+    c = table(spark, d, "customer").withColumn("server", server)
+    expanded = tx.expand_env_in(F.col("server"), c.schema["server"].dataType, env)
+    return c.select("c_custkey", tx.expand_env(F.lit("run ${SEG}/bin:$NAME-${SEG} $HOME ${NOPE} end"), env).alias("out"), expanded.alias("e")).select(
+        "c_custkey", "out", F.array_join("e.args", "|").alias("args"), F.col("e.env")["K"].alias("env_value"))
 
 
 @query("str30_keys", "select page_id, page_id || ':' || length(html) uid, 'rag_chunks_' || replace(coalesce(t,'default'),'-','_') coll, coalesce(u, length(html)::varchar) hit_key from (select *, regexp_extract(url,'http://([a-z.]+)/',1) || '-x-' || page_id t, case when length(html) > 5000 then url end u from pages)")
