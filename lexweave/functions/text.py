@@ -245,8 +245,8 @@ def fingerprint(*cols: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("None")) for c in cols]))
 
 
-def map_category(c: Column) -> Column:
-    return _first_match(c, ISSUE_CATEGORIES)
+def map_category(c: Column, without: tuple[str, ...] = ()) -> Column:
+    return _first_match(c, [([w for w in words if w not in without], label) for words, label in ISSUE_CATEGORIES])
 
 
 def map_error_type(c: Column) -> Column:

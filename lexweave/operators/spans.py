@@ -271,11 +271,17 @@ def apply_issues(docs: DataFrame, issues: DataFrame) -> DataFrame:
                     .otherwise(F.aggregate("edits", F.col("text"), step)).alias("text")))
 
 
+# The layout of correction records and the values that mean no suggestion.
 _LABELLED = {
+    "record": r"\[纠错结果\]",
     "original": r"原句[:：]\s*(.+)",
     "detail": r"(?s)错情[:：]\s*(.+)",
+    "kind": r"错误类型[:：]\s*([^，,。.\n]+)",
+    "place": r"起始位置\s*[=：:]\s*(\d+)[，,]\s*终止位置\s*[=：:]\s*(\d+)",
     "suggestion": r"(?s)正确建议[:：]\s*(.+)",
 }
+_NO_SUGGESTION = ("无", "NULL", "null", "None", "")
+_NOT_LABELLED = ("词语搭配",)
 
 
 def parse_labelled(raw: DataFrame) -> DataFrame:
@@ -283,19 +289,18 @@ def parse_labelled(raw: DataFrame) -> DataFrame:
 
     (doc_id, rec_no, original, category, explanation, start, end, suggestion)
     """
-    sec = raw.select("doc_id", F.posexplode(F.split("content", r"\[纠错结果\]")).alias("rec_no", "s"))
+    sec = raw.select("doc_id", F.posexplode(F.split("content", _LABELLED["record"])).alias("rec_no", "s"))
     s = F.col("s")
-    sec = sec.filter((tx.strip_blank(s) != "") & s.rlike(r"原句[:：]\s*(.+)") & ~s.contains(NO_ERROR))
-    detail = F.replace(tx.strip_blank(F.regexp_extract(s, _LABELLED["detail"], 1)), F.lit("\\n"), F.lit("\n"))
-    kind = tx.strip_blank(F.regexp_extract(detail, r"错误类型[:：]\s*([^，,。.\n]+)", 1))
-    pos = r"起始位置\s*[=：:]\s*(\d+)[，,]\s*终止位置\s*[=：:]\s*(\d+)"
+    sec = sec.filter((tx.strip_blank(s) != "") & s.rlike(_LABELLED["original"]) & ~s.contains(NO_ERROR))
+    detail = F.regexp_replace(tx.strip_blank(F.regexp_extract(s, _LABELLED["detail"], 1)), r"\\[nN]", "\n")
+    kind = tx.strip_blank(F.regexp_extract(detail, _LABELLED["kind"], 1))
     sug = tx.strip_blank(F.regexp_extract(s, _LABELLED["suggestion"], 1))
-    num = lambda g: F.expr(f"try_cast(regexp_extract(s, r'{pos}', {g}) as int)")
+    num = lambda g: F.expr(f"try_cast(regexp_extract(s, r'{_LABELLED['place']}', {g}) as int)")
     out = sec.select(
         "doc_id", "rec_no", tx.strip_blank(F.regexp_extract(s, _LABELLED["original"], 1)).alias("original"),
-        tx.map_category(kind).alias("category"), detail.alias("explanation"),
+        tx.map_category(kind, _NOT_LABELLED).alias("category"), detail.alias("explanation"),
         num(1).alias("_s"), num(2).alias("_e"),
-        F.when(~sug.isin("无", "NULL", "null", "None", ""), sug).alias("suggestion"))
+        F.when(~sug.isin(*_NO_SUGGESTION), sug).alias("suggestion"))
     # Without positions: the stretch between the common prefix and the last differing place.
     shorter = F.least(F.length("original"), F.length("suggestion"))
     differs = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))),
