@@ -11,8 +11,8 @@ sequence; without words it is empty and links with nothing. Documents link when
    do. Copies and most near copies have merged by then. Nodes whose buckets still hold several components go through an
    exact filter on their full sets: to reach the threshold, two sets of different components must share one of their
    rarest shingles early enough that the rest can still hold the needed overlap. Shingles found in one component only
-   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has. Here too a hashed centre of the
-   largest component comes first, and then all that is still apart.
+   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has. Here too a few nodes of the
+   largest component come first, and then all that is still apart.
 4. Every pair gets a joint likelihood estimate of its similarity from the registers and exact set sizes; pairs
    that lie `DEVIATIONS` standard errors below the threshold go, all others are confirmed on the full sets.
 
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from lexweave.llm.batches import LOWER_CODES, flat, mix, slices, span_hashes, spans
 from lexweave.llm.components import components
 from lexweave.llm.store import staged
+from lexweave.scale import top_k
 
 WORDS = 5
 BASE, RATE, TOP = 1.02, 20.0, 1500
 BANDS, ROWS = 24, 5
 STAR_BANDS = 3
+RARE_CENTRES = 2
 DEVIATIONS = 5.0
 _random = np.random.Generator(np.random.PCG64(4))
 _PLACES = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,7 +191,7 @@ def _rare_tokens(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _rare_pairs(ranked: DataFrame, percent: int, stars: bool) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a rare shingle in time.
 
-    Nodes outside a shingle's largest component meet all others there; with `stars`, one hashed node of that
+    Nodes outside a shingle's largest component meet all others there; with `stars`, RARE_CENTRES nodes of that
     component only.
     """
     parts = ranked.groupBy("shingle", "root").agg(F.count("*").alias("c"))
@@ -197,8 +199,9 @@ def _rare_pairs(ranked: DataFrame, percent: int, stars: bool) -> DataFrame:
     right = ranked.join(most.select("shingle", "most"), "shingle")
     left = right.filter(F.col("root") != F.col("most")).select("shingle", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "i")])
     if stars:
-        centre = F.min_by(F.struct("node", "root", "n", "i", "most"), F.xxhash64("node", "shingle"))
-        right = right.filter(F.col("root") == F.col("most")).groupBy("shingle").agg(centre.alias("c")).select("shingle", "c.*")
+        # The nodes in which the shingle stands earliest: they bound an overlap least.
+        best = [(F.col("i") / F.col("n")).asc(), F.xxhash64("node", "shingle")]
+        right = top_k(right.filter(F.col("root") == F.col("most")), ["shingle"], best, RARE_CENTRES)
     fits = lambda n, i: (100 + percent) * (F.col(n) - F.col(i)) >= percent * (F.col("n") + F.col("l_n"))
     met = left.join(right, "shingle").filter((F.col("l_root") != F.col("root")) & fits("n", "i") & fits("l_n", "l_i")
                                              & ((F.col("root") == F.col("most")) | (F.col("l_node") < F.col("node"))))
