@@ -8,6 +8,7 @@ before it and the place where the document that runs into it began.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,25 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.batches import slices
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The id after the vocabulary's last one, which no text encodes to.
 END = 50256
 BLOCK_BYTES = 1 << 18
 
 
+_loaded: dict = {}
+
+
+def encoder(path: str):
+    """The public vocabulary's encoder, loaded once a worker; without special tokens, so their names are ordinary text."""
+    if path not in _loaded:
+        import tiktoken
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        _loaded[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path]
+
+
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows of two kinds, one file per task: blocks (file, block, data) and, with null data, the file's document order.
 
@@ -33,9 +48,7 @@ def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-        coder = Tokenizer.from_file(path)
-        coder.encode_special_tokens = True
+        encode = encoder(path).encode_ordinary
         file, block, ordinal, held = TaskContext.get().partitionId(), 0, 0, b""
 
         def rows(blocks: list[bytes], at: int, ids=None, first: int = 0) -> pa.RecordBatch:
@@ -47,8 +60,7 @@ def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [t or "" for t in part["text"].to_pylist()]
-                coded = [np.array([*e.ids, END], "<u2").tobytes() for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+                coded = [np.array([*encode(t or ""), END], "<u2").tobytes() for t in part["text"].to_pylist()]
                 held = b"".join([held, *coded])
                 cut = [held[i:i + BLOCK_BYTES] for i in range(0, len(held) - BLOCK_BYTES + 1, BLOCK_BYTES)]
                 held = held[len(cut) * BLOCK_BYTES:]
