@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexweave.llm.bpe import decode, encode, n_tokens
 from lexweave.llm.langid import fit, held_out, identify
 from lexweave.llm.neardup import near_duplicates
-from lexweave.llm.ledger import CURRENT, ledger, passes
+from lexweave.llm.ledger import CURRENT, MEASURES, POLICIES, RULES, ledger, mask, passes
 from lexweave.llm.licenses import licensed
 from lexweave.llm.matroska import read_track, with_media
 from lexweave.llm.mixing import by_rank, copies, placed, word_count
@@ -109,7 +109,24 @@ def op7_token_counts(spark, sf_dir):
     return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-@query("op8_quality_ledger")
+_WORD, _BLANKS = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+LEDGER_SQL = f"""
+with d as (select doc_id, coalesce(text, '') t, row_number() over () rid from documents),
+w as (select rid, regexp_extract_all(t, '{_WORD}+') ws from d),
+e as (select rid, unnest(ws) word from w),
+per as (select rid, count(*) n_words, sum(length(word))::bigint word_chars, count(*) filter (regexp_matches(word, '[A-Za-z]|[^\\x00-\\x7F]')) n_letter_words from e group by rid),
+top as (select rid, max(c) max_word_repeat from (select rid, word, count(*) c from e group by all) group by rid),
+g as (select rid, i, count(*) over (partition by rid, ws[i], ws[i + 1], ws[i + 2]) k from (select rid, ws, unnest(generate_series(1, len(ws) - 2)) i from w)),
+cov as (select rid, count(distinct j) n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) j from g where k > 1) group by rid),
+l as (select rid, count(*) n_lines, count(*) - count(distinct s) n_dup_lines, count(*) filter (regexp_matches(s, '(\\.\\.\\.|…){_BLANKS}*$')) n_ellipsis_lines,
+  count(*) filter (regexp_matches(s, '^{_BLANKS}*[-*•]')) n_bullet_lines from (select rid, unnest(string_split(t, chr(10))) s from d) where regexp_matches(s, '{_WORD}') group by rid),
+m as (select doc_id, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, {", ".join(f"coalesce({c}, 0) {c}" for c in MEASURES if c != "n_symbols")}
+  from d left join per using (rid) left join top using (rid) left join cov using (rid) left join l using (rid)),
+f as (select *, ({" + ".join(f"case when {r.fails} then {1 << i} else 0 end" for i, r in enumerate(RULES))})::bigint failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {mask(POLICIES[1])}) <> 0 base_failed, (failed & {mask(POLICIES[CURRENT])}) = 0 kept, failed from f"""
+
+
+@query("op8_quality_ledger", LEDGER_SQL)
 def op8_quality_ledger(spark, sf_dir):
     rows = ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
