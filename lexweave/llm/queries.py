@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import decode, encode, n_tokens
+from lexweave.llm.huffman import documents_of, read_book, token_ids, write_files
 from lexweave.llm.langid import fit, held_out, identify
 from lexweave.llm.neardup import near_duplicates
 from lexweave.llm.ledger import CURRENT, MEASURES, POLICIES, RULES, ledger, mask, passes
 from lexweave.llm.licenses import licensed
 from lexweave.llm.matroska import read_track, with_media
+from lexweave.llm.merkle import manifest, verified
 from lexweave.llm.mixing import by_rank, copies, placed, word_count
 from lexweave.llm.registry import documents, query
 from lexweave.llm.secrets import as_text, secrets
 from lexweave.llm.separators import document_counts, token_files
 from lexweave.llm.store import staged
 from lexweave.llm.templates import without_recurring_lines
+from lexweave.llm.whitening import whitened
+from lexweave.scale import scratch_path
 
 
 @query("op4_near_duplicates")
@@ -142,3 +146,68 @@ def op10_licences(spark, sf_dir):
                        F.when(spot % 20 == 0, F.lit("LICENSE")).otherwise(spot.cast("string")))
     found = licensed(docs.withColumn("path", path))
     return found.select("row.doc_id", "row.path", "licence", F.round("score", 6).alias("score"), "via", "inherited_from")
+
+
+@query("op11_huffman_ids")
+def op11_huffman_ids(spark, sf_dir):
+    folder = scratch_path(spark, "huffman")
+    write_files(staged(token_ids(documents(spark, sf_dir)), "ids"), folder)
+    return documents_of(spark.read.parquet(f"{folder}/blocks"), read_book(spark, folder))
+
+
+#: The tree in SQL: `node` by recursion over levels, `fold` again with the changed leaf in its slot; the sources' tree is tree null.
+MERKLE_SQL = """
+with recursive d as (
+  select doc_id, source, row_number() over () rid, text,
+    {leaf} h, case when coalesce({crc} % 5 = 0, false) then {changed} else {leaf} end t from documents),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 idx, count(*) over (partition by source) n from d),
+sized as (select distinct source, n, ceil(round(log(n) / log(16), 9))::int depth from placed),
+node as (
+  select source, 0 as l, idx, h from placed
+  union all
+  select k.source, k.l + 1, k.idx // 16, sha256(string_agg(k.h, '' order by k.idx)) from node k join sized s on k.source is not distinct from s.source
+  where k.l < s.depth group by k.source, k.l, k.idx // 16),
+sub as (select k.source, k.h, row_number() over (order by k.source nulls first) - 1 idx from node k join sized s on k.source is not distinct from s.source and k.l = s.depth),
+upper_depth as (select ceil(round(log(count(*)) / log(16), 9))::int depth from sub),
+top as (
+  select 0 as l, idx, h from sub
+  union all
+  select k.l + 1, k.idx // 16, sha256(string_agg(k.h, '' order by k.idx)) from top k where k.l < (select depth from upper_depth) group by k.l, k.idx // 16),
+step as (
+  select p.rid, p.t, p.idx, s.depth, b.idx up, b.h subroot from placed p join sized s on p.source is not distinct from s.source join sub b on p.source is not distinct from b.source),
+way as (
+  select x.rid, k.l, k.idx, k.h, k.idx = x.idx // pow(16, k.l)::bigint own from placed x join sized s on x.source is not distinct from s.source
+    join node k on k.source is not distinct from x.source and k.l < s.depth and k.idx // 16 = x.idx // pow(16, k.l + 1)::bigint
+  union all
+  select x.rid, x.depth + k.l, k.idx, k.h, k.idx = x.up // pow(16, k.l)::bigint from step x, upper_depth u
+    join top k on k.l < u.depth and k.idx // 16 = x.up // pow(16, k.l + 1)::bigint),
+proof as (select rid, sha256(coalesce(string_agg(h, '' order by l, idx) filter (not own), '')) proof_sha256 from way group by rid),
+fold as (
+  select rid, 0 as l, t as h from placed
+  union all
+  select f.rid, f.l + 1, sha256(string_agg(case when w.own then f.h else w.h end, '' order by w.idx)) from fold f join way w on w.rid = f.rid and w.l = f.l group by f.rid, f.l),
+folded as (select rid, arg_max(h, l) folded_root from fold group by rid)
+select p.doc_id, p.h leaf, s.subroot, r.h root, coalesce(proof.proof_sha256, sha256('')) proof_sha256, folded_root, folded_root = r.h verified
+from placed p join step s using (rid) join folded using (rid) left join proof using (rid)
+  join (select h from top where l = (select depth from upper_depth)) r on true
+"""
+_field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of the decimal id, bit by bit.
+_crc = ("xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint), "
+        "lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)")
+
+
+@query("op12_merkle_manifest", MERKLE_SQL.format(leaf=_leaf("text"), changed=_leaf(_lowered), crc=_crc))
+def op12_merkle_manifest(spark, sf_dir):
+    return verified(manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"]))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    rows = whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return (rows.select("row.vec_id", "n", "deviation", "identity_error", each)
+            .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+                    F.col("c.explained").alias("explained"), "identity_error"))
