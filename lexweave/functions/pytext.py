@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from lexweave.functions.diffing import opcodes
+
 # Edge marks, clause marks and lengths of the segmentation and diff rules.
 EDGE_MARKS = "。！？，,.!? \t\n\r"
 CLAUSE_MARKS = ",，;；)）"
@@ -56,7 +57,7 @@ def sub_segments(text: str) -> list[tuple[int, str]]:
     edges = sorted({0, len(text), *_ends(text), *breaks})
     out, offset = [], 0
     for begin, end in zip(edges, edges[1:]):
-        sentence = text[begin:end].translate({0x7C: None, 0x0A: None})
+        sentence = text[begin:end].replace("|", "").replace("\n", "")
         for piece in filter(None, [sentence] if len(sentence) <= MAX_SEGMENT else clauses(sentence)):
             out.append((offset, piece))
             offset += len(piece)
@@ -70,7 +71,7 @@ def diff_spans(original: str, corrected: str) -> list[tuple[int, int, str, str]]
     """
     a, b = original.strip(" \t\n\r"), corrected.strip(" \t\n\r")
     shift = len(original) - len(original.lstrip(" \t\n\r"))
-    changes = difflib.SequenceMatcher(None, a, b).get_opcodes() if a != b else []
+    changes = opcodes(a, b) if a != b else []
     return [(i1 + shift, i2 + shift, a[i1:i2], b[j1:j2]) for tag, i1, i2, j1, j2 in changes
             if tag != "equal" and strip_edge(a[i1:i2]) != strip_edge(b[j1:j2])]
 
@@ -142,6 +143,7 @@ def pick_originals(originals: list[str], corrected: list[str], texts: list[str])
 # Type objects, not DDL: the module can be imported before a session exists.
 _SPAN_ROW = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                           T.StructField("span_original", T.StringType()), T.StructField("span_corrected", T.StringType())])
+_STEP_ROW = T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2")]])
 _SEG = T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("text", T.StringType())]))
 _SPAN = T.ArrayType(_SPAN_ROW)
 
@@ -157,6 +159,12 @@ def diff_udf(original: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, s)) for s in diff_spans(a, b)] for a, b in zip(original, corrected)])
 
 
+@F.pandas_udf(T.ArrayType(_STEP_ROW))
+def opcodes_udf(original: pd.Series, corrected: pd.Series) -> pd.Series:
+    names = ("tag", "i1", "i2", "j1", "j2")
+    return pd.Series([None if a is None or b is None else [dict(zip(names, s)) for s in opcodes(a, b)] for a, b in zip(original, corrected)])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def align_udf(rows: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([pick_lines(list(r), list(t)) for r, t in zip(rows, texts)])
@@ -190,6 +198,15 @@ class DiffSpans:
             yield from diff_spans(original, corrected)
 
 
+@udtf(returnType=_STEP_ROW)
+class DiffSteps:
+    """Table function: the steps (tag, i1, i2, j1, j2) that turn one text into another, equal stretches included."""
+
+    def eval(self, original: str, corrected: str):
+        if original is not None and corrected is not None:
+            yield from opcodes(original, corrected)
+
+
 # What fences code, and the control characters that go.
 _FENCE = "```"
 _CONTROL = dict.fromkeys([*range(0, 9), 11, 12, *range(14, 32)])

@@ -67,6 +67,12 @@ def catalog_tokens(c: Column) -> Column:
     return F.concat(words, F.regexp_extract_all(c, F.lit(CJK), F.lit(0)))
 
 
+def catalog_runs(c: Column) -> Column:
+    """Lower-case ASCII words followed by unbroken CJK runs."""
+    words = F.transform(F.regexp_extract_all(c, F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
+    return F.concat(words, F.regexp_extract_all(c, F.lit(CJK + "+"), F.lit(0)))
+
+
 def token_count(tokenizer, c: Column) -> Column:
     """Number of tokens, counted without building them where the tokenizer allows it."""
     if tokenizer is rag_tokens:

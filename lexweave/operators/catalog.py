@@ -196,48 +196,48 @@ def catalog_union(sources: list[tuple[str, bool, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
 
 
-def substring_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def substring_hits(docs: DataFrame, terms: DataFrame, tokens=tx.catalog_tokens) -> DataFrame:
     """Documents whose `hay` contains one of a query's terms: (query_id, item_id).
 
-    A term is an ASCII word or one CJK character, so it lies inside one token of the hay. Tokens are
-    made distinct first and cut into pieces of the wanted lengths, which turns the search into an
-    equi join.
+    A term is an ASCII word, a CJK character or a word of the tokenizer's lexicon, so it lies inside one run of the hay.
+    Runs are made distinct first and cut into pieces of the wanted lengths, which turns the search into an equi join.
     """
-    vocab = exploded(docs, ["doc_id"], F.array_distinct(tx.catalog_tokens(F.col("hay"))), "token")
-    lengths = terms.select(F.length("term").alias("len")).distinct()
-    # The pieces are cut per distinct token, never per document.
-    by_len = lengths.withColumn("_k", F.lit(0)).groupBy("_k").agg(F.collect_set("len").alias("lens"))
-    tokens = vocab.select("token").distinct().withColumn("_k", F.lit(0)).join(by_len, "_k")
-    fits = F.filter("lens", lambda n: n <= F.length("token"))
+    hay_runs = tx.catalog_tokens if tokens is tx.catalog_tokens else tx.catalog_runs
+    vocab = exploded(docs, ["doc_id"], F.array_distinct(hay_runs(F.col("hay"))), "token")
+    # The pieces are cut per distinct run, never per document; the wanted lengths are one value of the plan.
+    lens = F.lit(sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())).cast("array<int>")
+    runs = vocab.select("token").distinct()
+    fits = F.filter(lens, lambda n: n <= F.length("token"))
     pieces = F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(
         F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n)))))
-    inside = exploded(tokens, ["token"], pieces, "term")
+    inside = exploded(runs, ["token"], pieces, "term")
     match = inside.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "token").distinct()
     return vocab.join(bounded_broadcast(cut(match), 1_000_000), "token").select("query_id", F.col("doc_id").alias("item_id")).distinct()
 
 
-def catalog_scores(docs: DataFrame, queries: DataFrame, index: ix.Index | None = None) -> DataFrame:
+def catalog_scores(docs: DataFrame, queries: DataFrame, index: ix.Index | None = None, tokens=tx.catalog_tokens) -> DataFrame:
     """Catalog BM25, positive scores only; a query without any gets 0.1 for every substring hit.
 
-    `index`, if given, is the stored index of docs by catalog tokens.
+    `index`, if given, is the stored index of docs by the same `tokens` (`catalog_tokens`, or `segmented_tokens` of a lexicon).
     """
     # Read twice below: once for the result, once to find the queries without a hit.
-    scored = cut(rt.bm25_scores(index or docs, queries, tx.catalog_tokens, catalog=True))
+    scored = cut(rt.bm25_scores(index or docs, queries, tokens, catalog=True))
     missed = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    terms = cut(ix.query_terms(missed, tx.catalog_tokens))
+    terms = cut(ix.query_terms(missed, tokens))
     if terms.isEmpty():
         return scored
-    loose = substring_hits(docs, terms).withColumn("score", F.lit(FALLBACK_SCORE))
+    loose = substring_hits(docs, terms, tokens).withColumn("score", F.lit(FALLBACK_SCORE))
     return scored.unionByName(loose.select(*scored.columns))
 
 
-def coarse(docs: DataFrame, queries: DataFrame, dense: DataFrame, pool: int, index: ix.Index | None = None) -> DataFrame:
+def coarse(docs: DataFrame, queries: DataFrame, dense: DataFrame, pool: int, index: ix.Index | None = None,
+           tokens=tx.catalog_tokens) -> DataFrame:
     """Fused coarse list; `dense` must be `retrieve.dense_pool(pool)` deep.
 
     The inputs are read several times by the fusion and the result by the tiers behind it, so each is
     written once to the shared checkpoint folder.
     """
-    scores = catalog_scores(docs, queries, index)
+    scores = catalog_scores(docs, queries, index, tokens)
     return cut(rt.weighted_fusion(scores, cut(dense), pool))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
-from lexweave.functions.pytext import align_udf, diff_udf, match_udf, sub_segments_udf
+from lexweave.functions.pytext import align_udf, diff_udf, match_udf, opcodes_udf, sub_segments_udf
 from lexweave.scale import cut, exploded, running
 
 CONTEXT = 8
@@ -35,22 +35,6 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.col("_i") + 1).cast("bigint").alias("line"), "line_text", "line_start")
 
 
-def lexicon_issues(docs: DataFrame, lexicon: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Every occurrence of a known wrong form, with its line and global offsets."""
-    lexicon = list(dict.fromkeys(lexicon or tx.TYPO_PAIRS))
-    entries = F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right")) for w, r in lexicon])
-    # Only entries that a line holds become rows.
-    held = F.filter(entries, lambda e: F.contains("line_text", e["wrong"]))
-    found = exploded(text_lines(docs), ["doc_id", "line", "line_text", "line_start"], held, "e")
-    found = exploded(found, ["doc_id", "line", "line_start", "e.wrong", "e.right"],
-                     tx.occurrences(F.col("line_text"), F.col("e.wrong")), "p")
-    start = (F.col("line_start") + F.col("p")).cast("bigint")
-    return found.select(
-        "doc_id", "line", F.lit("error").alias("type"), F.lit(tx.DEFAULT_CATEGORY).alias("category"),
-        start.alias("start"), (start + F.length("wrong")).alias("end"),
-        F.col("wrong").alias("original"), F.col("right").alias("suggestion"))
-
-
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Split at newlines and bars, carriage returns dropped, blank normalised.
 
@@ -97,6 +81,12 @@ def diff_spans(pairs: DataFrame) -> DataFrame:
             .select(*keep, "_s.start", "_s.end", "_s.span_original", "_s.span_corrected"))
 
 
+def diff_steps(pairs: DataFrame) -> DataFrame:
+    """pairs(..., original, corrected) -> one row per step (tag, i1, i2, j1, j2), equal stretches included."""
+    keep = pairs.columns
+    return exploded(pairs, keep, opcodes_udf("original", "corrected"), "_s").select(*keep, "_s.*")
+
+
 def add_context(df: DataFrame, text: str, start: str, end: str, width: int = CONTEXT) -> DataFrame:
     """Up to `width` characters on either side of the span."""
     lo = F.greatest(F.lit(0), F.col(start) - width)

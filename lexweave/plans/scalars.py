@@ -34,6 +34,31 @@ def str2(spark, d):
     return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
+WORD_CHARS = ("etaoinshrdl", "的一是不了人我在有他这")
+WORDS = [("的一", 40), ("一是", 12), ("一是不", 9), ("不了", 30), ("人我", 5), ("我在", 25), ("在有", 7), ("有他", 3), ("的", 80), ("在", 2), ("他这的", 6), ("了人", 30)]
+#: Best paths from each run's end: scores and joined words of the three suffixes behind a place, words of up to three characters.
+WORDS_SQL = f"""
+with recursive c as (select conv_id, turn, translate(lower(text), '{WORD_CHARS[0]}', '{WORD_CHARS[1]}') t from conversations),
+runs as (select conv_id, turn, unnest(r) run, generate_subscripts(r, 1) k from (select *, regexp_extract_all(t, '[一-鿿]+') r from c)),
+lx as (select [{", ".join(f"'{w}'" for w, _ in WORDS)}] ws, [{", ".join(f"ln({n} / {sum(n for _, n in WORDS)}.0)" for _, n in WORDS)}]::double[] ls, ln(1 / {sum(n for _, n in WORDS)}.0)::double alone),
+p as (
+  select conv_id, turn, k, run, length(run) i, 0::double s0, null::double s1, null::double s2, '' t0, '' t1, '' t2 from runs
+  union all
+  select conv_id, turn, k, run, i - 1, case when c3 >= greatest(c1, coalesce(c2, c1)) then c3 when c2 >= c1 then c2 else c1 end, s0, s1,
+    case when c3 >= greatest(c1, coalesce(c2, c1)) then run[i:i+2] || ' ' || t2 when c2 >= c1 then run[i:i+1] || ' ' || t1 else run[i] || ' ' || t0 end, t0, t1
+  from (select p.*, coalesce(ls[list_position(ws, run[i])], alone) + s0 c1, ls[list_position(ws, run[i:i+1])] + s1 c2, ls[list_position(ws, run[i:i+2])] + s2 c3 from p, lx where i > 0)),
+w as (select conv_id, turn, string_agg(t0, '' order by k) words from p where i = 0 group by all)
+select conv_id, turn, md5(trim(array_to_string(list_transform(regexp_extract_all(t, '[a-zA-Z0-9]+'), lambda x: x || ' '), '') || coalesce(words, ''))) tokens_md5 from c left join w using (conv_id, turn)"""
+
+
+@query("str2_segmented_tokens", WORDS_SQL)
+def str2_segmented(spark, d):
+    from lexweave.operators.lexicon import segmented_tokens
+    tokens = segmented_tokens(spark.createDataFrame(WORDS, "word string, weight int"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.translate(F.lower("text"), *WORD_CHARS).alias("t"))
+    return t.select("conv_id", "turn", F.md5(F.array_join(tokens(F.col("t")), " ")).alias("tokens_md5"))
+
+
 TERMS_SQL = "(select conv_id, turn, lower(text) low, ['the','de','und'] terms from conversations)"
 
 
@@ -230,7 +255,7 @@ oc as (select *, unnest(generate_series(1, len(p)-1)) i from pp)
 select doc_id, line_no, wrong, suggestion, line_start + list_sum(list_transform(list_slice(p,1,i), lambda x: length(x)))::bigint + (i-1)*length(wrong) start_pos,
  line_start + list_sum(list_transform(list_slice(p,1,i), lambda x: length(x)))::bigint + i*length(wrong) end_pos from oc""")
 def str26(spark, d):
-    from lexweave.operators.spans import lexicon_issues
+    from lexweave.operators.lexicon import lexicon_issues
     lex = [("thst", "that"), ("eaux", "eau"), ("sch", "sh")]
     out = lexicon_issues(docs(spark, d).select("doc_id", "text"), lex)
     return out.select("doc_id", F.col("line").alias("line_no"), F.col("original").alias("wrong"), "suggestion",

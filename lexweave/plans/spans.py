@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.pytext import sanitize_udf, similarity_udf
 from lexweave.operators import spans as sp
+from lexweave.operators.lexicon import lexicon_issues
 from lexweave.plans.registry import query, table
 from lexweave.plans.scalars import strip_sql
 
@@ -39,6 +40,16 @@ def str19(spark, d):
     return sp.diff_spans(rewritten(spark, d)).select("doc_id", "par_no", "start", "end", "span_original", "span_corrected")
 
 
+@query("str19_diff_steps", f"""with {PAR_SQL}, r as (select doc_id, par_no, "text" a, regexp_replace(replace(replace("text", 'tion', 'sion'), 'the ', 'a '), '[.]$', '!') b from pa)
+select doc_id, par_no, length(a) taken, length(b) given, md5(b) rebuilt from r""")
+def str19_steps(spark, d):
+    """The steps of every pair, put together again: they cover the original and give the corrected text."""
+    steps = sp.diff_steps(rewritten(spark, d))
+    piece = F.struct("i1", "j1", F.when(F.col("tag") == "equal", F.expr("substr(original, i1 + 1, i2 - i1)")).otherwise(F.expr("substr(corrected, j1 + 1, j2 - j1)")).alias("text"))
+    joined = F.array_join(F.array_sort(F.collect_list(piece))["text"], "")
+    return steps.groupBy("doc_id", "par_no").agg(F.sum(F.col("i2") - F.col("i1")).cast("bigint").alias("taken"), F.sum(F.col("j2") - F.col("j1")).cast("bigint").alias("given"), F.md5(joined).alias("rebuilt"))
+
+
 @query("flt7_sanity_gate", """select conv_id, turn, case when role = 'system' then false when length(c) > 2*length(text) then false when length(c) < 0.5*length(text) and length(text) > 10 then false else true end passes
  from (select *, case when contains(text,'the') then replace(text,'e','eee') when contains(text,'sch') then regexp_replace(text,'[a-m]','','g') else text || text || '.' end c from conversations)""")
 def flt7(spark, d):
@@ -63,7 +74,7 @@ iz as materialized (select doc_id, text, wrong, suggestion, (list_sum(list_trans
 
 
 def issues(spark, d):
-    return sp.lexicon_issues(docs(spark, d), ISS)
+    return lexicon_issues(docs(spark, d), ISS)
 
 
 @query("win13_context", f"with {ISS_SQL} select doc_id, st \"start\", wrong, substr(text, greatest(0,st-8)+1, st-greatest(0,st-8)) context_before, substr(text, st+length(wrong)+1, 8) context_after from iz")
@@ -88,7 +99,7 @@ def agg7(spark, d):
 def win10(spark, d):
     """Lexicon hits of nested and overlapping forms."""
     lex = [("tion", "sion"), ("ti", "si"), ("ion", "on"), ("onen", "on"), ("sch", "sh"), ("chsch", "ch"), ("eaux", "eau"), ("eauxe", "eau")]
-    i = sp.lexicon_issues(docs(spark, d), lex).withColumn("issue_id", F.concat_ws("-", "start", "original"))
+    i = lexicon_issues(docs(spark, d), lex).withColumn("issue_id", F.concat_ws("-", "start", "original"))
     return sp.resolve_overlaps(i.select("doc_id", "issue_id", "start", "end", "original", "suggestion"))
 
 

@@ -11,6 +11,7 @@ from lexweave.operators import evals as ev
 from lexweave.operators import graph as gr
 from lexweave.operators import layout as ly
 from lexweave.operators import spans as sp
+from lexweave.operators.lexicon import lexicon_issues
 from lexweave.scale import running
 
 
@@ -138,7 +139,7 @@ def test_align_and_match(spark):
 
 def test_lexicon_positions(spark):
     docs = spark.createDataFrame([(1, "好象\n那里已后那里")], "doc_id int, text string")
-    got = sorted((r["line"], r["start"], r["end"], r["suggestion"]) for r in sp.lexicon_issues(docs).collect())
+    got = sorted((r["line"], r["start"], r["end"], r["suggestion"]) for r in lexicon_issues(docs).collect())
     assert got == [(1, 1, 2, "像"), (2, 3, 5, "哪里"), (2, 5, 7, "以后"), (2, 7, 9, "哪里")]
 
 
