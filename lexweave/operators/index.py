@@ -104,6 +104,10 @@ def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = rag_tokens) -
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
+    """A stored index, or the latest version of one that a stream maintains (`segments`)."""
+    from lexweave.operators import segments
+    if segments.exists(spark, f"{path}/manifest"):
+        return segments.open_segments(spark, path)
     rows = lambda kind: spark.read.parquet(f"{path}/rows").filter(F.col("kind") == kind)
     return Index(rows("postings").select("tenant", "doc_id", "term", "tf", "dl"), rows("docs").select("tenant", "doc_id", "dl"),
                  spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))

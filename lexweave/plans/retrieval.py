@@ -6,6 +6,8 @@ whose vec_id equals its doc_id; items and documents without one use the lexical
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lexweave.functions.text import query_variants, rag_tokens
 from lexweave.functions.vectors import centroid, cosine, vector_topk
 from lexweave.operators import index as ix
 from lexweave.operators import retrieve as rt
+from lexweave.operators.segments import folder_of
 from lexweave.plans.registry import query, table
 from lexweave.scale import cut, scratch_path
 
@@ -23,12 +26,20 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.lit("default").alias("tenant"), "doc_id", "text", "source")
 
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
 def stored_index(spark: SparkSession, d: str, name: str, docs: DataFrame, tokenizer=rag_tokens) -> ix.Index:
-    """The index of a table's documents: built at the first search of an application, opened by all later ones."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """The index of a table's documents: built at the first search of an application, opened by all later ones.
+
+    It belongs to the files that docs reads, by name, size and time: a table that has changed since gets a new one.
+    """
+    files = []
+    for file in docs.inputFiles():
+        fs, place = folder_of(spark, file)
+        status = fs.getFileStatus(place)
+        files.append(f"{file}:{status.getLen()}:{status.getModificationTime()}")
+    key = (spark.sparkContext.applicationId, name, hashlib.md5("|".join(sorted(files)).encode()).hexdigest())
     if key not in _BUILT:
         path = scratch_path(spark, f"index-{name}")
         ix.build_index(docs, path, tokenizer)
