@@ -51,10 +51,31 @@ def rows():
     return [r[:5] for r in _rows()]
 
 
+VECTORS = T.StructType([
+    T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()),
+    T.StructField("x", T.StringType()), T.StructField("row", T.StringType()), T.StructField("at", T.StringType()), T.StructField("n", T.StringType())])
+
+
+def _vectors():
+    rng = random.Random(8)
+    made = [[rng.gauss(0, 1 + k) for k in range(6)] for _ in range(60)]
+    made += [made[0]] * 40 + [made[1], [9.5] * 6, [0.001] * 6, [-0.001] * 6, None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] + [1.0] * 5,
+                             [float("inf")] + [1.0] * 5, [1.0] * 5 + [float("-inf")], [], [2.0, 3.0]]
+    out = [(i, v, i % 3) for i, v in enumerate(made)]
+    out += [out[3], out[3], (3, made[9], 0), (None, made[4], None), (None, None, None)]
+    return [(*r, "x", None, "a", "n") for r in out]
+
+
+@pytest.fixture(scope="session")
+def vectors():
+    return [r[:3] for r in _vectors()]
+
+
 @pytest.fixture(scope="session")
 def sf(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("full")
     spark.createDataFrame(_rows(), SCHEMA).repartition(4).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(_vectors(), VECTORS).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -62,4 +83,5 @@ def sf(spark, tmp_path_factory):
 def empty_sf(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
