@@ -1,7 +1,7 @@
 """Token ids in binary files: canonical length-limited Huffman codes from global counts, decoded by table in blocks.
 
 1. `token_ids`: ids of every whole text, by the public tokenizer's own library. White space never lies inside a piece of
-   this vocabulary, so words are coded once and looked up afterwards.
+   this vocabulary, so words are coded once a worker and looked up by a 64-bit hash afterwards.
 2. `id_counts`: how often every id occurs in all rows; at most one row per vocabulary entry.
 3. `code_lengths`: the best code lengths of at most `limit` bits (package-merge); codes follow from lengths alone.
 4. `write_files`: rows in ascending order, one file of blocks per range of rows. A block holds at most `BLOCK_TOKENS` ids
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm.batches import slices
+from lexweave.llm.batches import flat, slices, span_hashes, spans
 from lexweave.llm.store import bases
 from lexweave.scale import bounded_broadcast
 
@@ -40,7 +40,7 @@ END = 1
 LIMIT = 20
 BLOCK_TOKENS = 1 << 18
 STRIDE = 256
-CACHE_BYTES = 48 << 20
+POOL_IDS = 8 << 20
 _MAGIC = b"LWH1"
 #: magic, documents, ids, checkpoints, flags (1: the first document began before), first document and first id in the file,
 #: CRC-32 of the coded words.
@@ -50,7 +50,9 @@ _loaded: dict = {}
 
 
 class Coder:
-    """The tokenizer of a file, with a bounded table of whole words."""
+    """The tokenizer of a file, with a table of whole words: 64-bit hash, place and number of their ids in one pool."""
+
+    BITS = 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,32 +61,65 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _code(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, each followed by END."""
-        split = [t.encode().split() for t in texts]
-        if self.held > CACHE_BYTES:
-            self.words, self.held = {}, 0
-        words = self.words
-        new = list({w for line in split for w in line if w not in words})
-        once = {}
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for word, ids in zip(some, self._code(some)):
-                if len(word) < 100:
-                    words[word] = ids
-                    self.held += len(word) + len(ids) + 180
-                else:
-                    once[word] = ids
-        end = np.array([END], self.kind).tobytes()
-        get = words.__getitem__ if not once else lambda w: once[w] if w in once else words[w]
-        return [b"".join([*map(get, line), end]) for line in split]
+        self.pool = np.zeros(POOL_IDS, self.kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held = np.zeros(1 << self.BITS, np.uint64)
+        self.place = np.zeros(1 << self.BITS, np.int32)
+        self.count = np.zeros(1 << self.BITS, np.int32)
+        self.used = 0
+
+    def _code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        ids, counts = [], []
+        for at in range(0, len(words), 4096):
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + 4096]], add_special_tokens=False):
+                found = e.ids
+                ids += found
+                counts.append(len(found))
+        return np.array(ids, self.kind), np.array(counts, np.int64)
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text (null: empty), each followed by END."""
+        data, offsets = flat(texts)
+        starts, ends, first = spans(data, offsets)
+        keys = span_hashes(data, starts, ends) | np.uint64(1)
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        missed = np.flatnonzero(self.held[slot] != keys)
+        pool = self.pool
+        if len(missed):
+            _, one, back = np.unique(keys[missed], return_index=True, return_inverse=True)
+            one = missed[one]
+            raw = data.tobytes()
+            ids, counts = self._code([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+            begins = np.cumsum(counts) - counts
+            if self.used + len(ids) <= len(pool):
+                pool[self.used:self.used + len(ids)] = ids
+                begins += self.used
+                self.used += len(ids)
+                self.held[slot[one]] = keys[one]
+                self.place[slot[one]] = begins
+                self.count[slot[one]] = counts
+                full = False
+            else:  # this batch is answered from a longer copy; the table starts anew
+                pool = np.concatenate([pool[:self.used], ids])
+                begins += self.used
+                full = True
+            place[missed], count[missed] = begins[back], counts[back]
+            if full:
+                self.clear()
+        # Every text ends with one more id.
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        until = np.cumsum(count)
+        out = np.full((int(until[-1]) if len(until) else 0) + len(offsets) - 1, END, self.kind)
+        into = until - count + doc
+        moves = np.arange(len(out) - (len(offsets) - 1)) - np.repeat(until - count, count)
+        out[np.repeat(into, count) + moves] = pool[np.repeat(place, count) + moves]
+        done = np.concatenate([[0], until])[first[1:]] + np.arange(1, len(offsets))
+        packed, size = out.tobytes(), self.kind.itemsize
+        return [packed[a * size:b * size] for a, b in zip([0, *done[:-1].tolist()], done.tolist())]
 
 
 def coder(path: str) -> Coder:
@@ -106,7 +141,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         code = coder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = code.batch([t or "" for t in part["text"].to_pylist()])
+                ids = code.batch(part["text"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -300,11 +335,11 @@ def write_files(coded: DataFrame, folder: str, path: str | None = None, limit: i
     counts = np.zeros(int(max(found["id"].to_pylist(), default=-1)) + 1, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
     lengths = code_lengths(counts, limit)
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/book")
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/book")
     # Rows that are equal in all else are told apart by where they lay, so that even they spread over ranges.
     order = ["doc_id", F.xxhash64("ids"), F.monotonically_increasing_id()]
     ranged = coded.select("doc_id", "ids", order[1].alias("_tie"), order[2].alias("_at")).repartitionByRange("doc_id", "_tie", "_at")
-    blocks(ranged.sortWithinPartitions("doc_id", "_tie", "_at"), lengths, kind, block_tokens).write.parquet(f"{folder}/blocks")
+    blocks(ranged.sortWithinPartitions("doc_id", "_tie", "_at"), lengths, kind, block_tokens).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_book(spark: SparkSession, folder: str) -> np.ndarray:
