@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import query_variants, rag_tokens
 from lexweave.functions.vectors import centroid, cosine, vector_topk
+from lexweave.operators import blocks as bk
 from lexweave.operators import index as ix
+from lexweave.operators import pivots as pv
 from lexweave.operators import retrieve as rt
 from lexweave.operators.segments import folder_of
 from lexweave.plans.registry import query, table
@@ -143,6 +145,14 @@ def ret1_bm25_topk(spark, d):
     return rt.bm25_topk(chunk_index(spark, d), items(spark, d), 10)
 
 
+@query("ret1_pruned_topk", f"with {bm25_sql()} {topk_sql('sc', 10)}")
+def ret1_pruned_topk(spark, d):
+    """The same hits from blocks with bounds; ranges that cannot reach the top ten are not scored."""
+    path = scratch_path(spark, "blocks")
+    bk.build_blocks(chunk_index(spark, d), path)
+    return bk.pruned_topk(bk.open_blocks(spark, path), items(spark, d), 10)[0]
+
+
 @query("top1_bm25_zero_fill", f"""with {bm25_sql()},
 al as (select b.item_id query_id, doc_id item_id, coalesce(score, 0.0) score
        from benchmark b cross join documents left join sc on sc.query_id = b.item_id and sc.item_id = doc_id)
@@ -169,6 +179,14 @@ def top2_vector_topk(spark, d):
     return vector_topk(item_vectors(spark, d), doc_vectors(spark, d), 10)
 
 
+@query("top2_pivot_topk", f"with {VEC_SQL} {topk_sql('l2', 10, 'score, item_id')}")
+def top2_pivot_topk(spark, d):
+    """The same hits with the packs left out that the triangle inequality rules out."""
+    path = scratch_path(spark, "pivots")
+    pv.build_pivots(doc_vectors(spark, d), path)
+    return pv.pivot_topk(item_vectors(spark, d), path, 10)[0]
+
+
 @query("ret3_vector_search", f"with {VEC_SQL}, h as ({topk_sql('l2', 10, 'score, item_id')}) "
        "select query_id, item_id, rank, score, source, n_chars, md5(text) text_md5 from h join documents on doc_id = item_id")
 def ret3_vector_search(spark, d):
