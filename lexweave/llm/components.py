@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.scale import cut
+from lexweave.llm.store import release, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,18 +26,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing moves; each round keeps at most one edge per old edge,
     so a hub costs no more than its links. Loops and repeated edges are allowed; an empty table gives an empty one.
-    Roots themselves are included.
+    Roots themselves are included. The result is a stored table.
     """
-    now = cut(edges.filter(F.col("a") != F.col("b"))
-              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = staged(edges.filter(F.col("a") != F.col("b"))
+                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, large=True), large=False))
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == mark:
+        if (seen["n"], seen["h"]) == mark or not seen["n"]:
             break
         mark = (seen["n"], seen["h"])
+        last, now = now, staged(_star(_star(now, large=True), large=False), "edges")
+        release(last)
     else:
         raise RuntimeError("components did not settle")
     return (now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) of all nodes, after new links (a, b) between nodes: only links between different roots are followed."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    lifted = (links.join(side("a"), "a").join(side("b"), "b").filter(F.col("root_a") != F.col("root_b"))
+              .select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    moved = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("moved"))
+    return staged(roots.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root")), "roots")

@@ -1,10 +1,14 @@
 """Line deduplication by a log-template tree.
 
 Lines are parsed to a fixed depth: a leaf is a token count and the first `DEPTH` tokens, where a token with a digit is a
-variable field. The lines of a leaf are dealt into templates by similarity: they meet as a whole leaf, and by each of a few
-classes of places, one more than the places in which similar lines may differ, so that two similar lines share a class.
-In every such group two lines, those of the least and the greatest hash, are references; a line joins the first reference
-with which it differs in at most one of `APART` places. A line without one (variable fields masked) is a template by itself.
+variable field. The distinct lines of a leaf are gathered into templates by leaders: two lines are similar if they differ in
+at most one of `APART` places. Places are dealt into classes, one more than two similar lines may differ in, so similar lines
+agree in all places of a class and meet in the group of that class. In every round the first lines of every group lead it
+(leaders of an earlier round before others, then by hash); a line joins the first leader similar to it and leaves all its
+groups; a leader leaves the groups it has led, as it has met all their lines. Rounds go on, with twice as many leaders a
+group each time, until no group holds two lines, so every line has met a leader in every group or joined one. A template is
+a leader with all lines that joined it; leaders that join leaders bring their lines. Other lines (variable fields masked) are
+templates by themselves.
 A template recurs if it lies in two different texts. Lines of `LONG_TOKENS` tokens then go; shorter ones, down to
 `SHORT_TOKENS`, go if their template lies in `SHORT_TEXTS` texts, or as part of a passage: a run of consecutive recurring
 lines of `RUN_WORDS` words together (lines below `SHORT_TOKENS` never recur and do not break a run).
@@ -26,7 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.batches import flat, mix, slices, span_hashes, spans
+from lexweave.llm.components import components
 from lexweave.llm.store import staged
+from lexweave.scale import top_k
 
 DEPTH = 3
 APART = 5
@@ -84,8 +90,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(short[of]), pa.array(line[begin][keep].astype(np.int32) if len(begin) else np.zeros(0, np.int32)), pa.array(place.astype(np.int32)),
                  pa.array(count[keep].astype(np.int32)), pa.array(words[of].astype(np.int64)), pa.array(mix(leaf)[keep].view(np.int64)),
-                 pa.array(mix(exact)[keep].view(np.int64)), *[pa.array(np.ascontiguousarray(slots[:, i])) for i in range(len(_SLOTS))]],
-                ["key", "text_hash", "line", "place", "n", "words", "leaf", "exact", *_SLOTS])
+                 pa.array(mix(mix(exact) + leaf)[keep].view(np.int64)), *[pa.array(np.ascontiguousarray(slots[:, i])) for i in range(len(_SLOTS))]],
+                ["key", "text_hash", "row", "place", "n", "words", "leaf", "line", *_SLOTS])
 
 
 def text_key(text: str = "text") -> Column:
@@ -94,9 +100,9 @@ def text_key(text: str = "text") -> Column:
 
 
 def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line of at least SHORT_TOKENS tokens: its text's key, line number, place among such lines, tokens, leaf, exact
-    hash and places."""
-    schema = "key binary, text_hash long, line int, place int, n int, words long, leaf long, exact long, " + ", ".join(f"{s} long" for s in _SLOTS)
+    """One row per line of at least SHORT_TOKENS tokens: its text's key, row, place among such lines, tokens, leaf, hash of all
+    tokens (`line`) and places."""
+    schema = "key binary, text_hash long, row int, place int, n int, words long, leaf long, line long, " + ", ".join(f"{s} long" for s in _SLOTS)
     return docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_lines, schema)
 
 
@@ -106,50 +112,64 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda acc, x: acc + bytes_(x))
 
 
-def templates(lines: DataFrame, texts: list[Column]) -> DataFrame:
-    """(leaf, exact, template, aggregates `texts`): the distinct lines of leaves of several lines and texts, dealt to references."""
-    several = (lines.groupBy("leaf").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.min("exact").alias("c"), F.max("exact").alias("d"))
-               .filter((F.col("a") != F.col("b")) & (F.col("c") != F.col("d"))).select("leaf"))
-    alike = staged(lines.select("leaf", "exact", "text_hash", "n", *_SLOTS).join(several, "leaf", "left_semi")
-                   .groupBy("leaf", "exact").agg(*texts, *[F.min(s).alias(s) for s in _SLOTS]), "alike")
-    # Lines that differ in at most `free` places agree in all places of one of free + 1 classes.
-    free = F.floor(F.least(F.col("n"), F.lit(PLACES)) / APART).cast("int")
+def _classes(free: Column, slots: Column) -> Column:
+    """The places of every class in one array each."""
     masks = F.array(*[F.lit(-(1 << 56) if k == 7 else 255 << 8 * k).cast("long") for k in range(8)])
-    place = lambda i: F.get("slots", F.floor(i / 8).cast("int")).bitwiseAND(F.element_at(masks, (i % 8 + 1).cast("int")))
-    shared = F.when(F.col("turn") >= 0, F.transform(F.sequence(F.greatest("turn", F.lit(0)), F.lit(PLACES - 1), F.col("free") + 1), place))
-    lined = alike.select("leaf", "exact", "least", F.array(*_SLOTS).alias("slots"), free.alias("free"))
-    met = (lined.select("*", F.explode(F.sequence(F.lit(-1), F.col("free"))).alias("turn"))
-           .withColumn("group", F.xxhash64("leaf", "turn", shared)))
-    order = F.struct("least", "exact")
-    references = met.groupBy("group").agg(F.array(F.min_by("slots", order), F.max_by("slots", order)).alias("references"))
-    tried = met.join(references, "group").select("leaf", "exact", "turn", "group", "slots", "free", F.posexplode("references").alias("which", "reference"))
-    joins = tried.filter(_differing(F.col("slots"), F.col("reference")) <= F.col("free"))
-    dealt = joins.groupBy("leaf", "exact").agg(F.min_by(F.xxhash64("group", "which"), 2 * F.col("turn") + F.col("which")).alias("template"))
-    return alike.select("leaf", "exact", "least", "most", "n", "cells").join(dealt, ["leaf", "exact"])
+    place = lambda i: F.get(slots, F.floor(i / 8).cast("int")).bitwiseAND(F.element_at(masks, (i % 8 + 1).cast("int")))
+    return F.transform(F.sequence(F.lit(0), free), lambda turn: F.transform(F.sequence(turn, F.lit(PLACES - 1), free + 1), place))
+
+
+def templates(distinct: DataFrame) -> DataFrame:
+    """(line, template) of the distinct lines (line, leaf, n, places) that share a template with another one."""
+    # Only leaves of several lines are looked at.
+    several = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf")
+    lined = (distinct.join(several, "leaf", "left_semi")
+             .select("line", "leaf", F.array(*_SLOTS).alias("slots"), F.floor(F.least(F.col("n"), F.lit(PLACES)) / APART).cast("int").alias("free")))
+    keyed = (lined.select("*", F.posexplode(_classes(F.col("free"), F.col("slots"))).alias("turn", "shared"))
+             .select(F.xxhash64("leaf", "turn", "shared").alias("key"), "line", "slots", "free"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key")
+    members = staged(keyed.join(shared, "key", "left_semi").withColumn("led", F.lit(0)), "members")
+    links, many = None, 1
+    while not members.isEmpty():
+        order = F.struct((-F.col("led")).alias("led"), F.xxhash64("line", "key").alias("hash"), "line")
+        ranked = members.select("*", order.alias("order"))
+        leaders = (top_k(ranked, ["key"], [F.col("order")], many) if many > 1 else
+                   ranked.groupBy("key").agg(F.min_by(F.struct("order", "line", "slots"), "order").alias("l")).select("key", "l.*"))
+        leaders = staged(leaders.select("key", F.col("order").alias("leads"), F.col("line").alias("leader"), F.col("slots").alias("reference")), "leaders")
+        tried = ranked.join(leaders, "key").filter((F.col("leads") < F.col("order")) & (_differing(F.col("slots"), F.col("reference")) <= F.col("free")))
+        joined = staged(tried.groupBy("line").agg(F.min_by("leader", F.struct("leads", "leader")).alias("leader")), "joined")
+        links = joined if links is None else links.unionAll(joined)
+        chosen = joined.select(F.col("leader").alias("line")).distinct().withColumn("chosen", F.lit(1))
+        left = (members.join(joined.select("line"), "line", "left_anti")
+                .join(leaders.select("key", F.col("leader").alias("line")), ["key", "line"], "left_anti").join(chosen, "line", "left")
+                .select("key", "line", "slots", "free", F.greatest("led", F.coalesce("chosen", F.lit(0))).alias("led")))
+        pairs = left.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key")
+        members = staged(left.join(pairs, "key", "left_semi"), "members")
+        many *= 2
+    if links is None:
+        return distinct.filter(F.lit(False)).select("line", F.col("line").alias("template"))
+    return components(links.select(F.col("line").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("line"), F.col("root").alias("template"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """(leaf, exact, template, least, often): the distinct lines whose template lies in two texts or more, and the text that
+    """(line, template, least, often): the distinct lines whose template lies in two texts or more, and the text that
     keeps it; often is true if the line surely goes, by its length or by as many occupied cells of a 64-cell counter."""
-    texts = [F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.min("n").alias("n"),
-             F.bit_or(F.expr("shiftleft(1L, int(pmod(text_hash, 64)))")).alias("cells")]
-    often = ((F.col("n") >= LONG_TOKENS) | (F.bit_count("cells") >= SHORT_TEXTS)).alias("often")
-    distinct = lines.groupBy("leaf", "exact").agg(*texts)
-    dealt = templates(lines, texts)
+    distinct = staged(lines.groupBy("line").agg(
+        F.min("leaf").alias("leaf"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.min("n").alias("n"),
+        F.bit_or(F.expr("shiftleft(1L, int(pmod(text_hash, 64)))")).alias("cells"), *[F.min(s).alias(s) for s in _SLOTS]), "distinct")
+    dealt = distinct.select("line", "least", "most", "n", "cells").join(templates(distinct), "line", "left").withColumn("template", F.coalesce("template", "line"))
+    dealt = staged(dealt, "dealt")
     found = dealt.groupBy("template").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("n").alias("n"), F.bit_or("cells").alias("cells"))
-    whole = found.filter(F.col("least") != F.col("most")).select("template", F.struct("template", "least", often).alias("whole"))
-    merged = dealt.select("leaf", "exact", "template").join(whole, "template").drop("template")
-    own = F.struct(F.xxhash64("leaf", "exact").alias("template"), "least", often)
-    return (distinct.join(merged, ["leaf", "exact"], "left").filter(F.col("whole").isNotNull() | (F.col("least") != F.col("most")))
-            .select("leaf", "exact", F.coalesce("whole", own).alias("own")).select("leaf", "exact", "own.*"))
+    often = ((F.col("n") >= LONG_TOKENS) | (F.bit_count("cells") >= SHORT_TEXTS)).alias("often")
+    return dealt.select("line", "template").join(found.filter(F.col("least") != F.col("most")).select("template", "least", often), "template")
 
 
 def drops(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, lines, words_dropped): which lines (from 0) every text loses; texts that lose none are not listed."""
     lines = staged(parsed(docs, text), "lines")
     once = ["text_hash", "place", "n", "words", "template", "least", "often"]
-    hits = staged(lines.select("key", "text_hash", "line", "place", "n", "words", "leaf", "exact").join(recurring(lines), ["leaf", "exact"])
-                  .groupBy("key", "line").agg(*[F.min(c).alias(c) for c in once]), "hits")
+    hits = staged(lines.select("key", "text_hash", "row", "place", "n", "words", "line").join(recurring(lines), "line")
+                  .groupBy("key", "row").agg(*[F.min(c).alias(c) for c in once]), "hits")
     rare = hits.filter(~F.col("often")).drop("often")
     counted = rare.groupBy("template").agg((F.count_distinct("key") >= SHORT_TEXTS).alias("often"))
     judged = hits.filter("often").unionByName(rare.join(counted, "template"))
@@ -157,7 +177,7 @@ def drops(docs: DataFrame, text: str = "text") -> DataFrame:
     run = (F.col("place") - F.row_number().over(Window.partitionBy("key").orderBy("place"))).alias("run")
     passage = F.sum("n").over(Window.partitionBy("key", "run")) >= RUN_WORDS
     gone = judged.select("*", run).withColumn("often", F.col("often") | passage).filter(F.col("often") & (F.col("text_hash") != F.col("least")))
-    kept_by = gone.groupBy("key", "least").agg(F.collect_list("line").alias("lines"), F.sum("n").alias("n"), F.max("words").alias("words"))
+    kept_by = gone.groupBy("key", "least").agg(F.collect_list("row").alias("lines"), F.sum("n").alias("n"), F.max("words").alias("words"))
     return (kept_by.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"), F.sum("n").alias("words_dropped"),
                                        F.max("n").alias("covered"), F.max("words").alias("words"))
             .filter(F.col("covered") < COPY_SHARE * F.col("words")).select("key", "lines", "words_dropped"))

@@ -71,3 +71,25 @@ def test_leaf_of_two_templates_and_a_stray(spark):
     assert len([m for m in stays if "harbour" in m]) == 1
     assert len([m for m in stays if "archive" in m]) == 1
     assert stray in stays
+
+
+def test_twelve_templates_of_a_leaf(spark):
+    """Two worded fields each, all in one leaf: one copy of each template stays, of few copies and of many."""
+    for copies, seed in ((6, 6), (40, 7)):
+        rng = random.Random(seed)
+        forms = [(said(rng, 4), said(rng, 4)) for _ in range(12)]
+        made = [(f, f"This page was {a} {said(rng, 1)} {b} {said(rng, 1)}") for f, (a, b) in enumerate(forms) for _ in range(copies)]
+        left = cleaned(spark, [f"{m}\n{said(rng, 40)}" for _, m in made])
+        stays = [f for i, (f, m) in enumerate(made) if m in left[i]]
+        assert sorted(stays) == list(range(12))
+
+
+def test_strays_and_wide_forms_of_a_leaf_stay(spark):
+    """Lines of one opening and length that differ in over a fifth of their places are no template, however many."""
+    rng = random.Random(8)
+    own = [f"This page was {said(rng, 10)}" for _ in range(30)]
+    wide = [f"This page was kept {said(rng, 4)} by our old office here" for _ in range(30)]
+    form = [f"This page was last seen {said(rng, 1)} on our old office shelf here" for _ in range(30)]
+    left = cleaned(spark, [f"{m}\n{said(rng, 40)}" for m in own + wide + form])
+    stays = [m for i, m in enumerate(own + wide + form) if m in left[i]]
+    assert [m for m in stays if m not in form] == own + wide and sum(m in form for m in stays) == 1

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -164,17 +165,80 @@ def test_op6(spark, sf, rows):
     assert len(seen) > 10 and all(a == b for a, b in seen)
 
 
+def brute_forward(word, book, prob):
+    """log of the sum over all segmentations, by exact fractions so that nothing underflows."""
+    place = {p: i for i, p in enumerate(book.pieces)}
+    out = []
+    for lang in range(prob.shape[1]):
+        total = [Fraction(1)] + [Fraction(0)] * len(word)
+        for end in range(1, len(word) + 1):
+            for at in range(max(0, end - book.longest), end):
+                if word[at:end] in place:
+                    total[end] += total[at] * Fraction(prob[place[word[at:end]], lang])
+        # The logarithm of a fraction beyond the range of doubles.
+        top, low = total[-1].numerator, total[-1].denominator
+        shift = top.bit_length() - low.bit_length()
+        out.append(float(np.log(float(Fraction(top, low << shift) if shift >= 0 else Fraction(top << -shift, low)))) + shift * np.log(2))
+    return out
+
+
+LONG_WORDS = ["water", "internationalization", "responsibilities", "Straßenbahnhaltestelle".lower(), "日本語のテキスト" * 12, "привет" * 30, "abcdefghij" * 60, "é" * 40]
+
+
 def test_forward_sums_all_segmentations():
+    """Pieces of every length count; long runs are neither cut nor lost to rounding, in whatever lanes they stand."""
     book = langid.pieces(public_tokenizers.path(langid.VOCABULARY))
+    assert book.longest > 30
     rng = np.random.default_rng(1)
     prob = np.vstack([rng.random((len(book.pieces), 2)) / 1000, np.zeros((1, 2))])
-    place = {p: i for i, p in enumerate(book.pieces)}
-    word = b" water"
+    words = [w.encode() for w in LONG_WORDS]
+    ends = np.cumsum([len(w) for w in words])
+    got = langid.word_logs(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, book, prob)
+    for w, found in zip(words, got):
+        assert np.allclose(found, brute_forward(b" " + w, book, prob), rtol=1e-9)
+
 
-    def total(at, lang):
-        return 1.0 if at == len(word) else sum(prob[place[word[at:e]], lang] * total(e, lang) for e in range(at + 1, min(len(word), at + 8) + 1) if word[at:e] in place)
-    got = langid.forward(np.frombuffer(word, np.uint8)[None, :], book, prob)[0]
-    assert np.allclose(got, np.log([total(0, 0), total(0, 1)]))
+def test_fit_blocks_keep_characters():
+    for word in LONG_WORDS:
+        blocks = langid.fit_blocks(word.encode())
+        assert b"".join(blocks) == b" " + word.encode() and all(len(b) <= langid.FIT_BYTES for b in blocks)
+        assert [b.decode() for b in blocks]
+
+
+def test_fit_is_expectation_maximisation():
+    """One round over words of a few letters against sums over all segmentations."""
+    book = langid.pieces(public_tokenizers.path(langid.VOCABULARY))
+    words, counts = [b" the", b" water", b"en"], np.array([3.0, 2.0, 5.0])
+    place, uniform = {p: i for i, p in enumerate(book.pieces)}, 1.0 / len(book.pieces)
+
+    def cuts(word):
+        return [[word[:e], *rest] for e in range(1, len(word) + 1) if word[:e] in place for rest in cuts(word[e:])] if word else [[]]
+    expected = np.zeros(len(book.pieces))
+    for word, n in zip(words, counts):
+        ways = [(uniform ** len(c), c) for c in cuts(word)]
+        for p, c in ways:
+            for piece in c:
+                expected[place[piece]] += n * p / sum(q for q, _ in ways)
+    want = (expected + langid.SMOOTH) / (expected.sum() + langid.SMOOTH * len(expected))
+    assert np.allclose(langid._fit(book, words, counts, 1), want, rtol=1e-9)
+
+
+JUNK = ["zxqv zxqv", "Привет мир это текст на русском языке", "日本語のテキストです。これは長い文章です。" * 20, "#### 3 x 4", "xkcdqj vbnmw qrtpz lkjhg", "a" * 3000]
+
+
+def test_only_texts_of_a_learned_language_are_likely(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    known = langid.identify(docs, model, ["doc_id", "lang"]).filter("lang is not null")
+    assert known.filter("not likely").count() == 0 and known.filter("lang <> lang_pred").count() <= 0.01 * known.count()
+    junk = spark.createDataFrame([(t,) for t in [*JUNK, "", None]], "text string")
+    assert langid.identify(junk, model, ["text"]).filter("likely").count() == 0
+    assert langid.identify(docs, langid.fit(docs.filter("false")), ["doc_id"]).filter("likely or lang_pred <> 'und' or score <> 0").count() == 0
+
+
+def test_too_many_labels(spark, sf):
+    with pytest.raises(ValueError):
+        langid.fit(spark.read.parquet(f"{sf}/documents.parquet"), max_langs=2)
 
 
 def test_op7(spark, sf, rows):
@@ -223,33 +287,55 @@ def test_op8_ablations(spark, sf):
 
 
 def brute_lines(texts):
-    """Text -> (line, words) pairs that go, by one reading of all distinct texts."""
+    """Text -> (line, words) pairs that go, by one reading of all distinct texts.
+
+    Templates are taken as all lines of a leaf that a chain of similar lines connects, which is what leaders gather where no
+    line lies between two templates.
+    """
     masked = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
     held = {hashlib.md5(t.encode()).digest(): t for t in texts}
     order = lambda k: int.from_bytes(k[:8], "little", signed=True)
-    exact, leaf = defaultdict(set), defaultdict(lambda: defaultdict(set))
-    for k, t in held.items():
-        for line in t.split("\n"):
-            m = masked(line)
-            if len(m) >= 3:
-                exact[m].add(k)
-                leaf[(len(m), m[:3])][m].add(k)
+    holders, leaf = defaultdict(set), defaultdict(list)
+    parsed = {k: [(i, masked(line)) for i, line in enumerate(t.split("\n")) if len(masked(line)) >= 3] for k, t in held.items()}
+    for k, lines in parsed.items():
+        for _, m in lines:
+            if m not in holders:
+                leaf[(len(m), m[:3])].append(m)
+            holders[m].add(k)
     folded = lambda m: [m[i::templates.PLACES] for i in range(min(len(m), templates.PLACES))]
-
-    def recurs(keys, n):
-        return len(keys) > 1 and (n >= 8 or len({order(k) % 64 for k in keys}) >= 8)
-
-    def owner(m):
-        group = leaf[(len(m), m[:3])]
-        keys = set().union(*group.values())
-        columns = list(zip(*map(folded, group)))
-        if recurs(keys, len(m)) and sum(len(set(c)) > 1 for c in columns) <= 0.2 * len(columns):
-            return min(keys, key=order)
-        return min(exact[m], key=order) if recurs(exact[m], len(m)) else None
+    root = {m: m for m in holders}
+
+    def find(m):
+        while root[m] != m:
+            m = root[m]
+        return m
+    for (n, _), lines in leaf.items():
+        for i, a in enumerate(lines):
+            for b in lines[:i]:
+                if sum(x != y for x, y in zip(folded(a), folded(b))) <= min(n, templates.PLACES) // 5:
+                    root[find(a)] = find(b)
+    texts_of = defaultdict(set)
+    for m, keys in holders.items():
+        texts_of[find(m)] |= keys
     out = {}
     for k, t in held.items():
-        gone = [(i, len(masked(p))) for i, p in enumerate(t.split("\n")) if len(masked(p)) >= 3 and owner(masked(p)) not in (None, k)]
-        out[t] = gone if sum(n for _, n in gone) <= 0.5 * len(WORD.findall(t)) else []
+        hits, run, runs = [], [], []
+        for i, m in parsed[k]:
+            if len(texts_of[find(m)]) > 1:
+                run.append((i, m))
+                hits.append((i, m))
+            else:
+                runs.append(run)
+                run = []
+        passage = {i for r in [*runs, run] if sum(len(m) for _, m in r) >= templates.RUN_WORDS for i, _ in r}
+        gone, by_keeper = [], Counter()
+        for i, m in hits:
+            keys = texts_of[find(m)]
+            keeper = min(keys, key=order)
+            if keeper != k and (len(m) >= templates.LONG_TOKENS or len(keys) >= templates.SHORT_TEXTS or i in passage):
+                gone.append((i, len(m)))
+                by_keeper[keeper] += len(m)
+        out[t] = gone if max(by_keeper.values(), default=0) < templates.COPY_SHARE * len(WORD.findall(t)) else []
     return out
 
 
