@@ -2,16 +2,22 @@
 
 Every language has a probability for each piece of one fixed public vocabulary. A word's probability is the sum over
 all its segmentations into pieces (forward algorithm); a text's is the product over its words. Words are runs of ASCII
-letters (lowered) and non-ASCII characters, led by a blank; runs beyond `RUN` bytes are scored in blocks of `RUN` bytes.
+letters (lowered) and non-ASCII characters, led by a blank, of any length: the forward state of the last bytes is carried on
+and rescaled, so no word and no piece of the vocabulary is cut.
 
 The piece probabilities are fitted by expectation maximisation on at most `docs_per_lang` whole labelled texts a
-language (the least hashes of doc_id), which is the documented bound of the classifier's sample.
+language (the least hashes of doc_id), which is the documented bound of the classifier's sample. Expected counts of words
+beyond `FIT_BYTES` bytes are taken in blocks of whole characters; scores never are.
+
+Beside the languages stands one that uses all pieces alike. A text is `likely` if its best language explains its words
+better than that one does: random letters and scripts that no learned language uses have no such language.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,29 +32,31 @@ from lexweave.scale import bounded_broadcast, top_k
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DOCS_PER_LANG = 400
 EM_ROUNDS = 4
-RUN = 32
-PIECE = 8
+FIT_BYTES = 48
+SHORT_BYTES = 64
+LANES, COLUMNS, RESCALE = 64, 256, 16
 SMOOTH = 0.05
 UNKNOWN = "und"
+MAX_LANGS = 200
 _APART = np.ones(256, bool)
 _APART[65:91] = _APART[97:123] = _APART[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _random = np.random.Generator(np.random.PCG64(6))
 _CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = _random.integers(1, 1 << 63, PIECE, dtype=np.uint64) | np.uint64(1)
+_PLACE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 class Pieces:
-    """The vocabulary's pieces of at most PIECE bytes, found by their hash in one of two tables."""
+    """The vocabulary's pieces, found by their hash in one of two tables."""
 
     BITS = 21
 
     def __init__(self, path: str):
         held = {base64.b64decode(line.split()[0]).lower() for line in open(path, "rb") if line.strip()}
         held |= {bytes([b]) for b in range(256)}
-        held = sorted(p for p in held if len(p) <= PIECE)
-        self.pieces = held
+        self.pieces = held = sorted(held)
+        self.longest = max(map(len, held))
         keys = np.array([self._hash(p) for p in held], np.uint64)
         self.keys = keys
         self.tables = []
@@ -91,50 +99,94 @@ def pieces(path: str) -> Pieces:
 
 
 def _lattice(words: np.ndarray, book: Pieces) -> list[np.ndarray]:
-    """For k = 1..PIECE the piece index of the k bytes from every position of the byte matrix `words`."""
+    """For k = 1..longest the piece index of the k bytes from every position of the byte matrix `words`."""
     codes = _CODES[words]
     out, h = [], np.zeros(words.shape, np.uint64)
-    for k in range(1, min(PIECE, words.shape[1]) + 1):
+    for k in range(1, min(book.longest, words.shape[1]) + 1):
         width = words.shape[1] - k + 1
         h = h[:, :width] + codes[:, k - 1:] * _PLACE[k - 1]
         out.append(book.find(h + np.uint64(k)))
     return out
 
 
-def forward(words: np.ndarray, book: Pieces, prob: np.ndarray) -> np.ndarray:
-    """log probability (rows: words of one length, columns: languages); prob is (pieces + 1, languages), last row 0."""
-    found = _lattice(words, book)
+def forward(words: np.ndarray, book: Pieces, prob: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """log probability (rows: words, columns: languages); prob is (pieces + 1, languages), last row 0.
+
+    Words stand in the first `lengths` bytes of their rows (all bytes, if none are given). The sums over all segmentations
+    of the first bytes are kept for the last `longest` places only, and are rescaled as they shrink.
+    """
     n, width = words.shape
-    alpha = np.zeros((width + 1, n, prob.shape[1]))
-    alpha[0] = 1
-    for end in range(1, width + 1):
-        for k in range(1, min(PIECE, end) + 1):
-            alpha[end] += alpha[end - k] * prob[found[k - 1][:, end - k]]
-    return np.log(np.maximum(alpha[width], 1e-300))
+    lengths = np.full(n, width) if lengths is None else lengths
+    span = book.longest
+    window = np.zeros((span, n, prob.shape[1]))
+    window[0] = 1
+    scale, out = np.zeros(n), np.zeros((n, prob.shape[1]))
+    for begin in range(0, width, COLUMNS):
+        low = max(0, begin - span + 1)
+        found = _lattice(words[:, low:begin + COLUMNS], book)
+        for end in range(begin + 1, min(width, begin + COLUMNS) + 1):
+            total = np.zeros((n, prob.shape[1]))
+            for k in range(1, min(span, end) + 1):
+                total += window[(end - k) % span] * prob[found[k - 1][:, end - k - low]]
+            window[end % span] = total
+            at_end = lengths == end
+            if at_end.any():
+                out[at_end] = np.log(np.maximum(total[at_end], 1e-300)) + scale[at_end, None]
+            if end % RESCALE == 0:
+                most = window.max(axis=(0, 2))
+                most[most <= 0] = 1
+                window /= most[None, :, None]
+                scale += np.log(most)
+    return out
 
 
-def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 8192):
-    """(indices, byte matrix with a leading blank) for runs of equal length, at most `block` runs at a time."""
+def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: int = 1, block: int = 8192):
+    """(indices, byte matrix, led by a blank if `lead` is 1) for runs of equal length, at most `block` runs at a time."""
     lengths = ends - starts
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
         for at in range(0, len(rows), block):
             some = rows[at:at + block]
-            words = np.full((len(some), length + 1), 32, np.uint8)
-            words[:, 1:] = _LOWER[data[starts[some, None] + np.arange(length)]]
+            words = np.full((len(some), length + lead), 32, np.uint8)
+            words[:, lead:] = _LOWER[data[starts[some, None] + np.arange(length)]]
             yield some, words
 
 
+def word_logs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, book: Pieces, prob: np.ndarray) -> np.ndarray:
+    """log probability of every run: short ones by equal lengths, long ones side by side in lanes of about equal length."""
+    out = np.empty((len(starts), prob.shape[1]))
+    lengths = ends - starts
+    short = np.flatnonzero(lengths <= SHORT_BYTES)
+    for some, words in _by_length(data, starts[short], ends[short]):
+        out[short[some]] = forward(words, book, prob)
+    long = np.flatnonzero(lengths > SHORT_BYTES)
+    long = long[np.argsort(lengths[long], kind="stable")]
+    for at in range(0, len(long), LANES):
+        lanes = long[at:at + LANES]
+        # Lanes of very different lengths are not padded to another.
+        for some in np.split(lanes, np.flatnonzero(np.diff(np.floor(np.log2(lengths[lanes])))) + 1):
+            words = np.full((len(some), int(lengths[some].max()) + 1), 32, np.uint8)
+            for row, i in enumerate(some):
+                words[row, 1:lengths[i] + 1] = _LOWER[data[starts[i]:ends[i]]]
+            out[some] = forward(words, book, prob, lengths[some] + 1)
+    return out
+
+
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter runs of at most RUN bytes, and each text's first one."""
-    starts, ends, first = spans(data, offsets, _APART)
-    blocks = -(-(ends - starts) // RUN)
-    if len(blocks) and blocks.max() > 1:
-        begin = np.concatenate([[0], np.cumsum(blocks)])
-        inner = np.arange(begin[-1]) - np.repeat(begin[:-1], blocks)
-        cut = np.repeat(starts, blocks) + inner * RUN
-        ends, starts, first = np.minimum(np.repeat(ends, blocks), cut + RUN), cut, begin[first]
-    return starts, ends, first
+    """Letter runs, and each text's first one."""
+    return spans(data, offsets, _APART)
+
+
+def fit_blocks(run: bytes) -> list[bytes]:
+    """A run, led by a blank, in blocks of whole characters of at most FIT_BYTES bytes (more if one UTF-8 character is)."""
+    run, out = b" " + run, []
+    while len(run) > FIT_BYTES:
+        at = FIT_BYTES
+        while at > 1 and run[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(run[:at])
+        run = run[at:]
+    return [*out, run]
 
 
 class Scorer:
@@ -148,6 +200,7 @@ class Scorer:
         self.logs = np.zeros((1 << self.BITS, prob.shape[1]), np.float32)
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Log probability of every text by every language."""
         starts, ends, first = runs(data, offsets)
         keys = span_hashes(data, starts, ends, LOWER_CODES) | np.uint64(1)
         slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -156,9 +209,7 @@ class Scorer:
         if len(missed):
             fresh, at, back = np.unique(keys[missed], return_index=True, return_inverse=True)
             one = missed[at]
-            values = np.empty((len(fresh), self.prob.shape[1]), np.float32)
-            for some, words in _by_length(data, starts[one], ends[one]):
-                values[some] = forward(words, self.book, self.prob)
+            values = word_logs(data, starts[one], ends[one], self.book, self.prob).astype(np.float32)
             logs[missed] = values[back]
             self.held[slot[one]] = fresh
             self.logs[slot[one]] = values
@@ -177,20 +228,20 @@ def _fit(book: Pieces, words: list[bytes], counts: np.ndarray, rounds: int) -> n
     prob[:size] = 1.0 / size
     for turn in range(rounds):
         expected = np.zeros(size + 1)
-        for some, chars in _by_length(data, starts, ends):
+        for some, chars in _by_length(data, starts, ends, lead=0):
             found = _lattice(chars, book)
             n, width = chars.shape
             weights = counts[some]
             alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
             alpha[0], beta[width] = 1, 1
             for end in range(1, width + 1):
-                for k in range(1, min(PIECE, end) + 1):
+                for k in range(1, min(book.longest, end) + 1):
                     alpha[end] += alpha[end - k] * prob[found[k - 1][:, end - k]]
             for at in range(width - 1, -1, -1):
-                for k in range(1, min(PIECE, width - at) + 1):
+                for k in range(1, min(book.longest, width - at) + 1):
                     beta[at] += beta[at + k] * prob[found[k - 1][:, at]]
             total = np.maximum(alpha[width], 1e-300)
-            for k in range(1, min(PIECE, width) + 1):
+            for k in range(1, min(book.longest, width) + 1):
                 share = alpha[:width - k + 1] * prob[found[k - 1].T] * beta[k:] / total * weights
                 np.add.at(expected, found[k - 1].T.ravel(), share.ravel()) if share.size < 1000 else expected.__iadd__(
                     np.bincount(found[k - 1].T.ravel(), share.ravel(), size + 1))
@@ -204,14 +255,31 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_LANG,
-        rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in code-point order and their piece probabilities, learned from labelled rows that are not held out.
+@dataclass
+class Model:
+    """Languages in code-point order and their piece probabilities."""
+
+    names: list[str]
+    prob: np.ndarray
+
+    def table(self) -> np.ndarray:
+        """Probabilities by piece and language, the last of which uses all pieces alike; a last row of zeros for what is no piece."""
+        size = self.prob.shape[1]
+        return np.vstack([np.hstack([self.prob.T, np.full((size, 1), 1 / size)]), np.zeros((1, len(self.names) + 1))])
 
-    The result has one number per language and vocabulary piece, whatever the size of `docs`.
+
+def fit(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_LANG, rounds: int = EM_ROUNDS,
+        max_langs: int = MAX_LANGS) -> Model:
+    """The model of the labelled rows that are not held out.
+
+    It has one number per language and vocabulary piece, whatever the size of `docs`. More than `max_langs` different
+    labels are an error: every worker holds all languages.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    labels = rows.select("lang").distinct().limit(max_langs + 1).count()
+    if labels > max_langs:
+        raise ValueError(f"more than {max_langs} different labels")
     chosen = top_k(rows.select("doc_id", "lang").distinct(), ["lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], docs_per_lang)
     sample = rows.select("doc_id", "lang", "text").join(bounded_broadcast(chosen.select("doc_id", "lang"), 100_000), ["doc_id", "lang"])
 
@@ -225,8 +293,8 @@ def fit(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_
                 tally: dict[tuple[str, bytes], int] = {}
                 for name, a, b in zip(names, first[:-1].tolist(), first[1:].tolist()):
                     for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist()):
-                        key = (name, text[s:e])
-                        tally[key] = tally.get(key, 0) + 1
+                        for block in fit_blocks(text[s:e]):
+                            tally[(name, block)] = tally.get((name, block), 0) + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.binary()), pa.array(list(tally.values()), pa.int64())],
                     ["lang", "word", "n"])
@@ -238,38 +306,37 @@ def fit(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_
 
     tally = sample.select("lang", "text").mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     models = sorted(tally.groupBy("lang").applyInPandas(learn, "lang string, prob array<double>").collect(), key=lambda r: r["lang"])
-    return [r["lang"] for r in models], np.array([r["prob"] for r in models]).reshape(len(models), -1 if models else 0)
+    return Model([r["lang"] for r in models], np.array([r["prob"] for r in models]).reshape(len(models), -1 if models else 0))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], path: str | None = None) -> DataFrame:
-    """`keep` columns of docs, lang_pred and score (posterior under equal priors).
+def identify(docs: DataFrame, model: Model, keep: list[str], path: str | None = None) -> DataFrame:
+    """`keep` columns of docs, lang_pred, score (posterior under equal priors) and likely (false for what is no text of it).
 
-    Null text, text without a letter, or a model without languages: `und` with score 0. Ties go to the first language
+    Null text, text without a letter, or a model without languages: `und` with score 0, not likely. Ties go to the first language
     in code-point order. Repeated rows get equal answers. Only `text` is looked at.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    names, prob = model
-    shared = docs.sparkSession.sparkContext.broadcast((names, prob))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prob = shared.value
-        book = pieces(path)
-        scorer = Scorer(book, np.vstack([prob.T, np.zeros((1, len(names)))])) if names else None
+        model, names = shared.value, shared.value.names
+        scorer = Scorer(pieces(path), model.table()) if names else None
         for batch in batches:
             for part in slices(batch, "_text"):
                 letters = part["_letters"].to_numpy(zero_copy_only=False).astype(bool)
                 if scorer is None:
-                    best, score = np.zeros(len(letters), int), np.zeros(len(letters))
+                    told, score, likely = [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters), bool)
                 else:
                     logs = scorer.texts(*flat(part["_text"]))
+                    logs, alike = logs[:, :-1], logs[:, -1]
                     odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-                    best, score = odds.argmax(axis=1), 1 / odds.sum(axis=1)
-                told = [names[b] if ok and names else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part[f"_k{i}"] for i in range(len(keep))], pa.array(told, pa.string()), pa.array(np.where(letters, score, 0.0) if names else np.zeros(len(told)))],
-                    [*keep, "lang_pred", "score"])
+                    best, score = odds.argmax(axis=1), np.where(letters, 1 / odds.sum(axis=1), 0.0)
+                    told = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
+                    likely = letters & (logs.max(axis=1) > alike)
+                yield pa.RecordBatch.from_arrays([*[part[f"_k{i}"] for i in range(len(keep))], pa.array(told, pa.string()), pa.array(score), pa.array(likely)],
+                                                 [*keep, "lang_pred", "score", "likely"])
 
     inner = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_text"),
                         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return inner.mapInArrow(predict, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string", "score double"]))
+    return inner.mapInArrow(predict, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string", "score double", "likely boolean"]))
