@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.store import numbered, staged
+from lexweave.scale import bounded_broadcast
 
 FAN = 16
 TAMPER = 5
@@ -45,10 +46,11 @@ def in_trees(rows: DataFrame, order: list[str], label: str) -> DataFrame:
     """rows with `idx`, their number in their `tree` by `order`; a large tree lies in many ranges and is never one task."""
     ranged = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
     held = numbered(ranged, "place", label)
-    # A tree begins at its least place; only pairs of tree and partition meet, so a large tree is no hot key.
-    piece = F.floor(F.col("place") / F.lit(1 << 16)).alias("piece")
+    # A tree begins at its least place. Pairs of tree and piece of the order are few and are sent to the rows; where they are
+    # too many for that, a large tree still is as many keys as it has pieces.
+    piece = F.floor(F.col("place") / F.lit(1 << 12)).alias("piece")
     begins = held.groupBy("tree").agg(F.min("place").alias("begin"))
-    pairs = held.select("tree", piece).distinct().join(begins, "tree")
+    pairs = bounded_broadcast(held.select("tree", piece).distinct().join(begins, "tree"), 1_000_000)
     return held.withColumn("piece", piece).join(pairs, ["tree", "piece"]).withColumn("idx", F.col("place") - F.col("begin")).drop("piece", "place", "begin")
 
 

@@ -99,12 +99,13 @@ def local(values: np.ndarray, spark) -> BlockMatrix:
 def fit(points: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     """The whitening of the distinct x of `points` (x); None where there is no vector or no direction with any variance."""
     spark = points.sparkSession
-    distinct = numbered(points.select("x").distinct(), "at", "distinct")
-    n, dims = distinct.agg(F.count("*"), F.max(F.size("x"))).first()
-    if not n or not dims:
+    dims = points.agg(F.max(F.size("x"))).first()[0]
+    if not dims:
         return None
     if dims > MAX_DIMS:
         raise ValueError(f"{dims} dimensions; the covariance of more than {MAX_DIMS} is not held on the driver")
+    distinct = numbered(points.select(_padded(F.col("x"), dims).alias("x")).distinct(), "at", "distinct")
+    n = distinct.count()
     found = dict(distinct.select(F.posexplode("x").alias("place", "value")).groupBy("place").agg(F.sum("value")).collect())
     sums = [int(found[i]) for i in range(dims)]
     splits = max(1, min(n // ROWS_PER_BLOCK, spark.sparkContext.defaultParallelism * 4))
