@@ -1,21 +1,27 @@
 """Secrets in texts: fixed forms, and tokens that a battery of randomness tests finds random.
 
 Fixed forms are assignments to a secret's name, access key ids and long hexadecimal runs. Beside them every token of
-`TOKEN_MIN` or more characters with a letter and a digit is a candidate. Its encoding is inferred from its characters;
-over that alphabet it takes a chi-squared test of uniformity, a runs test about the alphabet's middle and a lag-one
-serial correlation test, combined by Fisher's method: a token that the battery rejects at `BATTERY` is not random.
-A token is a discovery if, besides, it repeats characters less than text does: that p-value (the null hypothesis is
-text, whose spread shrinks with length) goes through Benjamini-Hochberg at `RATE`, separately per encoding and doubling
-of length, over all candidates of the corpus. Only DataFrame functions are used.
+`TOKEN_MIN` or more characters with a letter is a candidate. Its encoding is inferred from its characters (hyphens of
+UUIDs left out); over that alphabet it takes a chi-squared test of uniformity, of the characters and of their kinds
+(digits, capitals, small letters, signs), a runs test about the alphabet's middle and a lag-one serial correlation test.
+Fisher's method combines them to one value, which is even on [0, 1] for random tokens and mostly tiny for text.
+
+False-discovery control needs how often text does as well. Every text's own letters, in small letters, capitals and with
+capital initials, give null tokens of every length class, which take the same battery. A candidate's p-value is the share
+of null tokens of its length class that have its encoding and reach its value (one more, over one more). These go through
+Benjamini-Hochberg at `RATE`, per encoding and length class, over all candidates of the corpus. A discovery must also not
+be rejected as random at `BATTERY`. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import let
 from lexweave.llm.store import staged
 
 # The forms, in the order in which kinds sort at equal starts.
@@ -27,8 +33,10 @@ ASSIGN_MIN = 6
 
 TOKEN_MIN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_MIN
-BATTERY = 0.001
+BATTERY = 0.01
 RATE = 0.05
+#: Least lengths of the classes of length.
+CLASSES = [20, 24, 32, 40, 64]
 #: Encodings tried in this order: pattern and alphabet.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [
@@ -37,9 +45,8 @@ ENCODINGS = [
     ("base36", r"^([a-z0-9]+|[A-Z0-9]+)$", DIGITS + LOWER),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", UPPER + LOWER + DIGITS + "+/"),
 ]
-#: Probability that two, and that three, letters of text are equal.
-TEXT_PAIRS, TEXT_TRIPLES = 0.0667, 0.0061
-_BINS = 300
+_KINDS = ["[0-9]", "[A-Z]", "[a-z]", "[+/]"]
+_BINS, _CHUNK = 40, 256
 
 
 def _upper_tail(z: Column) -> Column:
@@ -56,8 +63,8 @@ def _floor(p: Column) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """Every token (start, end, value) with its tests: encoding, n, the p-values uniform, runs, serial, fisher (null
-    hypothesis: random) and text (null hypothesis: text).
+    """Every token (start, end, value) with its tests: encoding, n and the p-values uniform, kinds, runs, serial and fisher, whose
+    null hypothesis is a random token.
 
     The tests are built up in steps over the array, so that each step's terms appear once.
     """
@@ -75,7 +82,8 @@ def battery(tokens: Column) -> Column:
             out = F.when(t["plain"].rlike(pattern), F.lit(value)).otherwise(out)
         return out
 
-    out = step(tokens, plain=lambda t: F.regexp_replace(F.translate(t["value"], "-_", "+/"), "=+$", ""))
+    bare = lambda t: F.replace(t["value"], F.lit("-"), F.lit(""))
+    out = step(tokens, plain=lambda t: F.when(bare(t).rlike(ENCODINGS[0][1]), bare(t)).otherwise(F.regexp_replace(F.translate(t["value"], "-_", "+/"), "=+$", "")))
     out = step(out, encoding=lambda t: chosen([e[0] for e in ENCODINGS], t), alphabet=lambda t: chosen([e[2] for e in ENCODINGS], t))
     out = step(out, v=lambda t: F.translate(F.when(t["encoding"].isin("hex", "base36"), F.lower(t["plain"])).otherwise(t["plain"]), "=", ""))
     out = step(out, n=lambda t: F.length(t["v"]).cast("double"), k=lambda t: F.length(t["alphabet"]).cast("double"),
@@ -93,22 +101,26 @@ def battery(tokens: Column) -> Column:
                power=lambda t: F.aggregate(t["places"], F.lit(0.0), lambda acc, x: acc + (x - t["centre"]) * (x - t["centre"])),
                lagged=lambda t: F.aggregate(F.zip_with(F.slice(t["places"], 1, F.length(t["v"]) - 1), F.slice(t["places"], 2, F.length(t["v"]) - 1),
                                                        lambda x, y: (x - t["centre"]) * (y - t["centre"])), F.lit(0.0), lambda acc, x: acc + x))
+    shares = lambda pattern: F.array(*[F.lit(len(re.findall(pattern, a)) / len(a)) for _, _, a in ENCODINGS])
+    place = lambda t: chosen([F.lit(i) for i in range(len(ENCODINGS))], t)
+    off = lambda t, kind: F.when(F.get(shares(kind), place(t)) > 0, F.pow(F.regexp_count(t["v"], F.lit(kind)) - t["n"] * F.get(shares(kind), place(t)), F.lit(2.0))
+                                 / F.nullif(t["n"] * F.get(shares(kind), place(t)), F.lit(0.0))).otherwise(F.lit(0.0))
+    out = step(out, chi_kinds=lambda t: sum((off(t, k) for k in _KINDS[1:]), off(t, _KINDS[0])),
+               df_kinds=lambda t: sum((F.when(F.get(shares(k), place(t)) > 0, 1.0).otherwise(0.0) for k in _KINDS), F.lit(-1.0)))
     kept[:] = [c for c in kept if c not in ("plain", "alphabet", "v", "halves", "places")]
     out = step(out, variance=lambda t: F.greatest((t["mean"] - 1) * (t["mean"] - 2) / (t["n"] - 1), F.lit(0.0)),
                # Wilson and Hilferty: the cube root of chi-squared per degree of freedom is nearly normal.
                z_uniform=lambda t: (F.cbrt(t["chi"] / (t["k"] - 1)) - (1 - t["spread"])) / F.sqrt(t["spread"]),
                z_serial=lambda t: F.abs(t["lagged"] / F.nullif(t["power"], F.lit(0.0)) + 1 / t["n"]) * F.sqrt(t["n"]),
-               pairs=lambda t: t["n"] * (t["n"] - 1) / 2, equal=lambda t: (t["squares"] - t["n"]) / 2)
-    out = step(out, z_runs=lambda t: F.abs(t["turns"] - t["mean"]) / F.sqrt(F.nullif(t["variance"], F.lit(0.0))),
-               z_text=lambda t: (t["pairs"] * TEXT_PAIRS - t["equal"]) / F.sqrt(
-                   t["pairs"] * TEXT_PAIRS * (1 - TEXT_PAIRS) + t["n"] * (t["n"] - 1) * (t["n"] - 2) * (TEXT_TRIPLES - TEXT_PAIRS ** 2)))
-    kept[:] = ["start", "end", "value", "encoding", "n", "z_uniform", "z_runs", "z_serial", "z_text"]
+               z_kinds=lambda t: (F.cbrt(t["chi_kinds"] / t["df_kinds"]) - (1 - 2.0 / (9 * t["df_kinds"]))) / F.sqrt(2.0 / (9 * t["df_kinds"])))
+    out = step(out, z_runs=lambda t: F.abs(t["turns"] - t["mean"]) / F.sqrt(F.nullif(t["variance"], F.lit(0.0))))
+    kept[:] = ["start", "end", "value", "encoding", "n", "z_uniform", "z_kinds", "z_runs", "z_serial"]
     # A token without variation has no runs or serial value; it is not random.
     out = step(out, uniform=lambda t: _floor(_upper_tail(t["z_uniform"])), runs=lambda t: _floor(F.coalesce(2 * _upper_tail(t["z_runs"]), F.lit(0.0))),
-               serial=lambda t: _floor(F.coalesce(2 * _upper_tail(t["z_serial"]), F.lit(0.0))), text=lambda t: _floor(_upper_tail(t["z_text"])))
-    kept[:] = ["start", "end", "value", "encoding", "n", "uniform", "runs", "serial", "text"]
-    out = step(out, half=lambda t: -(F.ln(t["uniform"]) + F.ln(t["runs"]) + F.ln(t["serial"])))
-    return step(out, fisher=lambda t: F.exp(-t["half"]) * (1 + t["half"] + t["half"] * t["half"] / 2))
+               serial=lambda t: _floor(F.coalesce(2 * _upper_tail(t["z_serial"]), F.lit(0.0))), kinds=lambda t: _floor(_upper_tail(t["z_kinds"])))
+    kept[:] = ["start", "end", "value", "encoding", "n", "uniform", "kinds", "runs", "serial"]
+    out = step(out, half=lambda t: -(F.ln(t["uniform"]) + F.ln(t["kinds"]) + F.ln(t["runs"]) + F.ln(t["serial"])))
+    return step(out, fisher=lambda t: F.exp(-t["half"]) * (1 + t["half"] + t["half"] * t["half"] / 2 + F.pow(t["half"], F.lit(3.0)) / 6))
 
 
 def _placed(text: Column, pattern: str, found: Column) -> Column:
@@ -123,8 +135,30 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value")))).alias("spans"))
 
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")).cast(kind)
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda a: a["spans"])).otherwise(none)
+    begin = lambda at: F.struct(at.alias("at"), none.alias("spans")).cast(kind)
+    # A text's matches are placed in chunks, each from its own start: adding to an array copies it, so arrays stay short.
+    chunks = let(steps, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _CHUNK).cast("int")), lambda i: F.slice(all_, i * _CHUNK + 1, _CHUNK)))
+    sized = F.transform(chunks, lambda c: F.struct(c.alias("steps"), F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["gap"] + F.length(s["value"])).alias("length")))
+    placed = let(sized, lambda cs: F.transform(cs, lambda c, i: F.aggregate(
+        c["steps"], begin(F.aggregate(F.slice(cs, F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + x["length"])), step, lambda a: a["spans"])))
+    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(none)
+
+
+def null_tokens(text: Column) -> Column:
+    """Tokens of every length class from the text's own letters, in small letters, capitals and with capital initials.
+
+    Each class begins at another word, so that classes are not the same letters cut to other lengths.
+    """
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+
+    def made(ws: Column) -> Column:
+        out = []
+        for i, n in enumerate(CLASSES):
+            own = F.slice(ws, F.greatest(F.floor(F.size(ws) * (i + 1) / (len(CLASSES) + 2)).cast("int"), F.lit(1)), F.lit(n))
+            joined = F.array_join(own, "")
+            out += [F.substring(v, 1, n) for v in (F.lower(joined), F.upper(joined), F.array_join(F.transform(own, lambda w: F.initcap(w)), ""))]
+        return F.filter(F.array(*out), lambda v: F.length(v).isin(*CLASSES))
+    return F.transform(let(words, made), lambda v: F.struct(F.lit(0).cast("long").alias("start"), F.length(v).cast("long").alias("end"), v.alias("value")))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -137,32 +171,46 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     strong = F.filter(named(0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_MIN)
     based = placed.select("row", F.array_sort(F.concat(strong, named(1), named(2))).alias("base"), "p3")
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    bare = based.select("row", "base", F.filter("p3", lambda s: mixed(s) & apart(s)).alias("bare"))
+    bare = based.select("row", "base", F.filter("p3", lambda s: s["value"].rlike("[A-Za-z]") & apart(s)).alias("bare"))
     return bare.select("row", "base", battery(F.col("bare")).alias("tokens"))
 
 
 def _family(t: Column) -> Column:
-    return F.concat_ws(":", t["encoding"], F.floor(F.log2(t["n"])).cast("string"))
+    return F.concat_ws(":", t["encoding"], _class(t["n"]).cast("string"))
+
+
+def _class(n: Column) -> Column:
+    """The length class; tokens that lose hyphens or padding below the least length belong to the first."""
+    return F.greatest(sum((F.when(n >= least, 1).otherwise(0) for least in CLASSES), F.lit(-1)), F.lit(0))
 
 
 def _bin(t: Column) -> Column:
-    return F.least(F.floor(-10 * F.log10(t["text"])), F.lit(_BINS)).cast("int")
+    """Fisher's value in steps of a tenth of a decade, 0 for the most random."""
+    return F.least(F.floor(-10 * F.log10(t["fisher"])), F.lit(_BINS)).cast("int")
+
+
+def null_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(class, encoding, bin, n): the null tokens of all texts; at most classes * encodings * bins rows."""
+    held = docs.select(F.explode(battery(null_tokens(F.coalesce(F.col(text).cast("string"), F.lit(""))))).alias("t"))
+    return held.groupBy(_class(F.col("t.n")).alias("class"), F.col("t.encoding").alias("encoding"), _bin(F.col("t")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def discovery_bins(found: DataFrame) -> DataFrame:
-    """One row: a map from family to the least bin of p-values that Benjamini-Hochberg accepts at RATE.
+def discovery_bins(found: DataFrame, null: DataFrame) -> DataFrame:
+    """One row: a map from family to the last bin that Benjamini-Hochberg accepts at RATE.
 
-    p-values are counted in bins of a tenth of a decade, taken at their upper ends, so a table of all candidates shrinks
-    to at most (encodings * doublings of length * bins) counts before it is ordered.
+    Values are counted in bins, taken at their far ends, so a table of all candidates shrinks to at most (encodings *
+    length classes * bins) counts before it is ordered.
     """
-    tests = found.select(F.explode("tokens").alias("t")).select(_family(F.col("t")).alias("family"), _bin(F.col("t")).alias("bin"))
-    counts = tests.groupBy("family", "bin").agg(F.count("*").alias("n"))
-    within = Window.partitionBy("family")
-    beyond = within.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("k", F.sum("n").over(beyond)).withColumn("m", F.sum("n").over(within))
-    least = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("m") <= RATE * F.col("k")).groupBy("family").agg(F.min("bin").alias("bin"))
-    return least.agg(F.map_from_entries(F.collect_list(F.struct("family", "bin"))).alias("bins"))
+    tests = found.select(F.explode("tokens").alias("t")).select(_class(F.col("t.n")).alias("class"), F.col("t.encoding").alias("encoding"), _bin(F.col("t")).alias("bin"))
+    counts = tests.groupBy("class", "encoding", "bin").agg(F.count("*").alias("c"))
+    both = counts.select("class", "encoding", "bin", "c", F.lit(0).cast("long").alias("n")).unionAll(null.select("class", "encoding", "bin", F.lit(0).cast("long").alias("c"), "n"))
+    family = Window.partitionBy("class", "encoding")
+    so_far = family.orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = both.select("class", "encoding", "bin", F.sum("c").over(so_far).alias("k"), F.sum("c").over(family).alias("m"), F.sum("n").over(so_far).alias("reached"),
+                         F.sum("n").over(Window.partitionBy("class")).alias("null"))
+    p = (1 + F.col("reached")) / (1 + F.col("null"))
+    last = ranked.filter((F.col("k") > 0) & (p * F.col("m") <= RATE * F.col("k"))).groupBy("class", "encoding").agg(F.max("bin").alias("bin"))
+    return last.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", F.col("class").cast("string")), "bin"))).alias("bins"))
 
 
 def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -172,9 +220,9 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeated rows get equal answers; other columns are not looked at; an empty table gives an empty one.
     """
     found = staged(candidates(docs, text), "candidates")
-    bins = discovery_bins(found).scalar()
+    bins = discovery_bins(found, null_counts(docs, text)).scalar()
     judged = found.withColumn("_bins", bins)
-    secret = lambda s: (s["fisher"] >= BATTERY) & F.coalesce(_bin(s) >= F.try_element_at(F.col("_bins"), _family(s)), F.lit(False))
+    secret = lambda s: (s["fisher"] >= BATTERY) & F.coalesce(_bin(s) <= F.try_element_at(F.col("_bins"), _family(s)), F.lit(False))
     return judged.select("row", "base", F.filter("tokens", secret).alias("random"))
 
 
