@@ -18,19 +18,16 @@ from lexweave.llm.registry import documents
 from lexweave.llm.store import staged
 from lexweave.llm.templates import drop_recurring_lines
 
-#: With fewer languages than its inverse no document is that unsure; it only rejects a tie of many languages.
-LEAST_SCORE = 0.2
-
 
 def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; null texts, texts without a letter and texts of no clear language go."""
+    """Documents with a language stay; null texts, texts without a letter and texts that no learned language explains go."""
     packed = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text"))
     told = identify(packed, fit(docs), ["row"])
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return told.filter((F.col("lang_pred") != UNKNOWN) & F.col("likely")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
