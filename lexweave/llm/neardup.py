@@ -8,11 +8,13 @@ sequence; without words it is empty and links with nothing. Documents link when
    exponentially distributed hashes, truncated to powers of `BASE`. Registers of parts merge by their maximum.
 2. Documents of equal sets become one node. A node's registers are cut into bands; nodes that share a band meet.
 3. Inside a bucket no pair list is made. `STAR_BANDS` first meet only a hashed centre of each bucket, then all bands
-   do. Copies and most near copies have merged by then. Nodes whose buckets still hold several components go through an
-   exact filter on their full sets: to reach the threshold, two sets of different components must share one of their
-   rarest shingles early enough that the rest can still hold the needed overlap. Shingles found in one component only
-   come first in that order, so a document of mostly own text meets nobody, however many bucket mates it has. Here too a few nodes of the
-   largest component come first, and then all that is still apart.
+   do. Copies and most near copies have merged by then. Where a bucket still holds several components, a link can only be
+   missing between a node outside the bucket's largest component and another one. These outsiders go through an exact
+   filter on full sets: to reach the threshold, two sets must share one of their rarest shingles early enough that the rest
+   can still hold the needed overlap. Shingles that no outsider holds, or one component only, come first in that order, so
+   a document of mostly own text meets nobody, however many bucket mates it has. A shingle's nodes meet by classes of set
+   size, each only those its place in the order leaves possible. Here too a few nodes of the largest component come first,
+   and then all that is still apart.
 4. Every pair gets a joint likelihood estimate of its similarity from the registers and exact set sizes; pairs
    that lie `DEVIATIONS` standard errors below the threshold go, all others are confirmed on the full sets.
 
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.batches import LOWER_CODES, flat, mix, slices, span_hashes, spans
-from lexweave.llm.components import components
-from lexweave.llm.store import staged
-from lexweave.scale import top_k
+from lexweave.llm.components import merged
+from lexweave.llm.store import release, staged
+from lexweave.scale import bounded_broadcast, top_k
 
 WORDS = 5
 BASE, RATE, TOP = 1.02, 20.0, 1500
@@ -40,6 +42,10 @@ BANDS, ROWS = 24, 5
 STAR_BANDS = 3
 RARE_CENTRES = 2
 DEVIATIONS = 5.0
+#: Set sizes of one class differ by less than this factor.
+SIZE_STEP = 1.05
+#: Sides of up to so many short rows (node ids, shingles) are broadcast after a count; longer ones shuffle.
+SIDE_ROWS = 500_000
 _random = np.random.Generator(np.random.PCG64(4))
 _PLACES = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCALES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,14 +98,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], part["text_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                ["doc_id", "text_key", "n", "node", "bands", "regs"])
+                ["doc_id", "text_key", "n", "digest", "bands", "regs"])
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (MD5 of the text), n (set size), node (digest of the set), bands, regs; null text is empty."""
+    """doc_id, text_key (MD5 of the text), n (set size), digest of the set, bands, regs; null text is empty."""
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
                         F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_sketch, "doc_id long, text_key string, n long, node binary, bands array<long>, regs binary"))
+            .mapInArrow(_sketch, "doc_id long, text_key string, n long, digest binary, bands array<long>, regs binary"))
 
 
 def _odds(x: np.ndarray) -> np.ndarray:
@@ -144,10 +150,8 @@ def _likely(percent: int):
     return keep
 
 
-def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the text of the one row that stands for each node."""
-    rows = wanted.join(nodes.select("node", "doc_id", "text_key"), "node")
-
+def _full_sets(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the rows (node, doc_id, text_key), from the text of the one row that stands for each node."""
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -156,72 +160,112 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
                     ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc_id"]) & (F.md5("text") == F.col("text_key")))
-    return staged(held.select("node", "text").mapInArrow(sets, "node binary, shingles array<long>")
-                  .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    wanted = bounded_broadcast(rows.select(F.col("doc_id").alias("of"), "text_key", "node"), SIDE_ROWS)
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.md5("text") == F.col("text_key")))
+    found = staged(held.select("node", "text").mapInArrow(sets, "node long, shingles array<long>"), "sets")
+    # Rows that repeat both id and text give their set more than once.
+    count, nodes = found.agg(F.count("*"), F.count_distinct("node")).first()
+    if count == nodes:
+        return found
+    once = staged(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    release(found)
+    return once
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the threshold on their full sets."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a binary, b binary")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a long, b long"), "likely")
+    side = lambda x: sets.join(bounded_broadcast(likely.select(F.col(x).alias("node")).distinct(), SIDE_ROWS), "node", "left_semi").select(
+        F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return staged(both.filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"), "links")
+    out = staged(both.filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"), "links")
+    release(likely)
+    return out
+
+
+def _outsiders(placed: DataFrame) -> DataFrame:
+    """(node, root, outside) of nodes whose buckets hold several components; outside: of another than some bucket's largest."""
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("parts > 1")
+    return placed.join(bounded_broadcast(mixed.select("key", "most"), SIDE_ROWS), "key").groupBy("node", "root").agg(F.max(F.col("root") != F.col("most")).alias("outside"))
 
 
 def _rare_tokens(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root, n, i, shingle) of the shingles of nodes in different components that can begin an overlap.
+    """(node, root, outside, n, i, shingle) of the shingles that can begin an overlap with a node of another component.
 
     With sizes n and m a link needs an overlap of at least percent * (n + m) / (100 + percent). A node's shingles are
-    ordered by (found in one component only, frequency, value); if the first common shingle stands after i of n shingles,
-    the overlap is at most n - i.
+    ordered by (held by no outsider or by one component only, frequency, value); if the first common shingle stands after i
+    of n shingles, the overlap is at most n - i.
     """
-    tokens = apart.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = sets.join(bounded_broadcast(apart, SIDE_ROWS), "node")
+    each = lambda rows: rows.select("node", "root", "outside", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    foreign = staged(each(held.filter("outside")).select("shingle").distinct(), "foreign")
+    tokens = staged(each(held).join(bounded_broadcast(foreign, SIDE_ROWS), "shingle", "left_semi"), "tokens")
     tag = F.xxhash64("root")
-    spread = tokens.groupBy("shingle").agg(F.count("*").alias("df"), (F.min(tag) == F.max(tag)).alias("alone"))
-    ranked = (tokens.join(spread, "shingle").groupBy("node", "root", "n")
-              .agg(F.array_sort(F.collect_list(F.struct(~F.col("alone"), "df", "shingle", "alone"))).alias("order"))
-              .select("node", "root", "n", F.posexplode("order").alias("i", "token"))
-              .filter(~F.col("token.alone") & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n"))))
-    return staged(ranked.select("node", "root", "n", "i", F.col("token.shingle").alias("shingle")), "rare")
+    spread = staged(tokens.groupBy("shingle").agg(F.count("*").alias("df"), (F.min(tag) == F.max(tag)).alias("alone"))
+                    .filter(~F.col("alone")).select("shingle", "df"), "spread")
+    ordered = (tokens.join(bounded_broadcast(spread, SIDE_ROWS), "shingle").groupBy("node", "root", "outside", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order")))
+    first = F.col("n") - F.size("order")
+    ranked = (ordered.select("node", "root", "outside", "n", first.alias("first"), F.posexplode("order").alias("at", "token"))
+              .select("node", "root", "outside", "n", (F.col("first") + F.col("at")).alias("i"), F.col("token.shingle").alias("shingle"))
+              .filter(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")))
+    out = staged(ranked, "rare")
+    release(foreign, tokens, spread)
+    return out
 
 
 def _rare_pairs(ranked: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share a rare shingle in time.
+    """Pairs (a, b) of nodes in different components, one at least an outsider, that share a rare shingle in time.
 
     Nodes outside a shingle's largest component meet all others there; with `stars`, RARE_CENTRES nodes of that
     component only.
     """
     parts = ranked.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     most = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("parts > 1")
-    right = ranked.join(most.select("shingle", "most"), "shingle")
-    left = right.filter(F.col("root") != F.col("most")).select("shingle", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "i")])
+    right = ranked.join(bounded_broadcast(most.select("shingle", "most"), SIDE_ROWS), "shingle")
+    left = right.filter(F.col("root") != F.col("most")).select("shingle", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "outside", "n", "i")])
+    keys = ["shingle"]
     if stars:
         # The nodes in which the shingle stands earliest: they bound an overlap least.
         best = [(F.col("i") / F.col("n")).asc(), F.xxhash64("node", "shingle")]
         right = top_k(right.filter(F.col("root") == F.col("most")), ["shingle"], best, RARE_CENTRES)
+    else:
+        # Sizes m that can link: percent * n <= 100 * m, 100 * n >= percent * m and enough of n left after place i.
+        size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+        n, i = F.col("l_n"), F.col("l_i")
+        low = F.ceil(n * percent / 100)
+        high = F.least(F.floor(n * 100 / percent), F.floor((n - i) * (100 + percent) / percent) - n)
+        left = left.filter(low <= high).withColumn("size", F.explode(F.sequence(size_class(low), size_class(high))))
+        right = right.withColumn("size", size_class(F.col("n")))
+        keys = ["shingle", "size"]
     fits = lambda n, i: (100 + percent) * (F.col(n) - F.col(i)) >= percent * (F.col("n") + F.col("l_n"))
-    met = left.join(right, "shingle").filter((F.col("l_root") != F.col("root")) & fits("n", "i") & fits("l_n", "l_i")
-                                             & ((F.col("root") == F.col("most")) | (F.col("l_node") < F.col("node"))))
+    met = left.join(right, keys).filter((F.col("l_root") != F.col("root")) & (F.col("l_outside") | F.col("outside")) & fits("n", "i") & fits("l_n", "l_i")
+                                        & ((F.col("root") == F.col("most")) | (F.col("l_node") < F.col("node"))))
     return met.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct()
 
 
-def node_links(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
+def node_roots(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (one per distinct set, with its least doc_id) and confirmed links that connect what is to be connected."""
+    """Nodes (one per distinct set, with its least doc_id) and (node, root) of those that share a band: the components."""
     filled = sketched.filter(F.col("n") > 0)
-    nodes = staged(filled.groupBy("node").agg(
+    nodes = staged(filled.groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"),
-        *[F.first(c).alias(c) for c in ("n", "bands", "regs")]).select("node", "least.doc_id", "least.text_key", "n", "bands", "regs"), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).select("key", "band", "node")
+        *[F.first(c).alias(c) for c in ("n", "bands", "regs")]).select(
+            F.monotonically_increasing_id().alias("node"), "digest", "least.doc_id", "least.text_key", "n", "bands", "regs"), "nodes")
+    every = nodes.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).select("key", "band", "node")
     # Only the keys that two nodes share can link anything.
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    members = staged(members.join(shared, "key", "left_semi"), "bands")
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    members = staged(every.join(shared, "key", "left_semi"), "bands")
+    wanted = staged(members.select("node").distinct(), "wanted")
+    kept = nodes.join(bounded_broadcast(wanted, SIDE_ROWS), "node", "left_semi")
+    held = staged(kept.select("node", "n", "regs"), "held")
     # Texts travel once: the full sets of all nodes that share a band are stored for every later step.
-    sets = _full_sets(members.select("node").distinct(), nodes, docs, id_col, text_col)
-    rooted = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = _full_sets(kept.select("node", "doc_id", "text_key"), docs, id_col, text_col)
+    roots = staged(wanted.withColumn("root", F.col("node")), "roots")
+    release(wanted)
 
     def stars(rows: DataFrame, salt: int) -> DataFrame:
         """Members meet the hashed centre of each of their buckets if it lies in another component."""
@@ -230,22 +274,26 @@ def node_links(sketched: DataFrame, docs: DataFrame, percent: int = 85, id_col:
         return (rows.join(centres, "key").filter(F.col("root") != F.col("centre_root"))
                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
-    tested = staged(stars(members.filter(F.col("band") < STAR_BANDS).withColumn("root", F.col("node")), 1), "star")
-    links = _confirmed(tested, nodes, sets, percent)
-    placed = staged(rooted(members, components(links)), "placed")
-    second = staged(stars(placed, 2).join(tested, ["a", "b"], "left_anti"), "star")
-    tested, links = tested.unionAll(second), links.unionAll(_confirmed(second, nodes, sets, percent))
-
-    # Nodes whose buckets still hold several components.
-    placed = rooted(members.select("key", "node"), components(links))
-    several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
-    apart = staged(placed.join(several, "key", "left_semi").select("node", "root").distinct(), "apart")
+    def step(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs, stored, and the roots after testing them."""
+        pairs = staged(pairs, "pairs")
+        links = _confirmed(pairs, held, sets, percent)
+        after = merged(roots, links)
+        release(links, roots)
+        return pairs, after
+
+    first, roots = step(stars(members.filter(F.col("band") < STAR_BANDS).withColumn("root", F.col("node")), 1), roots)
+    second, roots = step(stars(members.join(roots, "node"), 2).join(first, ["a", "b"], "left_anti"), roots)
+    tested = first.unionAll(second)
+    apart = staged(_outsiders(members.join(roots, "node").select("key", "node", "root")), "apart")
+    release(members)
     ranked = _rare_tokens(apart, sets, percent)
-    third = staged(_rare_pairs(ranked, percent, stars=True).join(tested, ["a", "b"], "left_anti"), "star")
-    tested, links = tested.unionAll(third), links.unionAll(_confirmed(third, nodes, sets, percent))
-    ranked = staged(rooted(ranked.drop("root"), components(links)), "rare")
-    rest = staged(_rare_pairs(ranked, percent, stars=False).join(tested, ["a", "b"], "left_anti"), "rest")
-    return nodes, links.unionAll(_confirmed(rest, nodes, sets, percent))
+    third, roots = step(_rare_pairs(ranked, percent, stars=True).join(tested, ["a", "b"], "left_anti"), roots)
+    tested = tested.unionAll(third)
+    ranked = ranked.drop("root").join(roots, "node")
+    fourth, roots = step(_rare_pairs(ranked, percent, stars=False).join(tested, ["a", "b"], "left_anti"), roots)
+    release(apart, held, sets, first, second, third, fourth)
+    return nodes, roots
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,12 +304,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     An empty table gives an empty table. Other columns of `docs` are not looked at.
     """
     sketched = staged(sketches(docs, id_col, text_col), "sketches")
-    nodes, links = node_links(sketched.select("doc_id", "text_key", "n", "node", "bands", "regs"), docs, percent, id_col, text_col)
-    roots = components(links)
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    nodes, roots = node_roots(sketched, docs, percent, id_col, text_col)
+    named = staged(nodes.select("node", "digest", "doc_id").join(roots, "node", "left")
+                   .select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "named")
+    release(nodes, roots)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    out = sketched.select("doc_id", "text_key", "n", "node").join(of_node, "node", "left")
+    of_node = named.join(least, "root").select("digest", "component_id")
+    out = sketched.select("doc_id", "text_key", "n", "digest").join(of_node, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
