@@ -47,8 +47,8 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFr
 
 
 def matching_postings(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer = rag_tokens) -> DataFrame:
-    """Postings of the wanted terms only, with dl: nothing else of the corpus is shuffled."""
-    wanted = terms.select("tenant", "term").distinct()
+    """Postings of the wanted terms only, with dl: nothing else of the corpus is shuffled while the terms are few."""
+    wanted = bounded_broadcast(terms.select("tenant", "term").distinct(), BROADCAST_TERMS)
     tok = exploded(tokenized(docs, tokenizer), ["tenant", "doc_id", "dl"], F.col("tokens"), "term")
     return (tok.join(wanted, ["tenant", "term"], "left_semi")
             .groupBy("tenant", "doc_id", "term", "dl").agg(F.count("*").alias("tf")))

@@ -32,7 +32,16 @@ def join4(spark, d):
     return ac.login_match(logins, users(spark, d)).select("login", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
-@query("join5_admit_registrations")
+@query("join5_admit_registrations", """with recursive n as (
+  select o_orderkey seq, case when o_orderstatus = 'F' then 'Customer#' || lpad(o_custkey::varchar, 9, '0') else 'u' || o_custkey end username, 'm' || floor(o_totalprice / 100)::bigint || '@x' email from orders),
+s as (
+  select *, false won from n where username not in (select c_name from customer) and email not in (select lower(c_mktsegment) || '@' || c_custkey from customer)
+  union all
+  select seq, username, email, w from (
+    select *, bool_or(w) over (partition by username) or bool_or(w) over (partition by email) taken from (
+      select seq, username, email, seq = min(seq) over (partition by username) and seq = min(seq) over (partition by email) w from s where not won))
+  where w or not taken)
+select seq, username, email from s where won""")
 def join5(spark, d):
     """Orders as registrations: status F takes a known customer name, the rest repeat names and emails."""
     new = table(spark, d, "orders").select(

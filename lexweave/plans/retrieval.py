@@ -123,8 +123,9 @@ def agg1_corpus_stats(spark, d):
 @query("join7_term_match", f"with {bm25_sql()} select query_id, term, count(*) docs, sum(tf)::bigint total_tf, any_value(df) df"
        " from qt join po using(term) join df using(term) join ds using(doc_id) group by query_id, term")
 def join7_term_match(spark, d):
-    terms = ix.query_terms(items(spark, d))
-    post = ix.matching_postings(chunks(spark, d), terms)
+    terms = cut(ix.query_terms(items(spark, d)))
+    # Read twice: for the counts of terms and for the matches.
+    post = cut(ix.matching_postings(chunks(spark, d), terms))
     return (post.join(terms, ["tenant", "term"]).join(ix.term_stats(post), ["tenant", "term"])
             .groupBy("query_id", "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total_tf"),
                                              F.first("df").alias("df")))
