@@ -42,7 +42,7 @@ def _rows():
               ("- a b\n- a b\n• c d...\n" * 5, "en"), ("trailing blank ", "en"), ("f" * 24 + " " + "F" * 24 + " a=1", "en")]
     rows = [(i, t, lang, f"src{i % 4}" if i % 11 else None, None if t is None else len(t)) for i, (t, lang) in enumerate(texts)]
     rows += [rows[5], rows[5], (None, rows[5][1], "en", "src1", 3), (None, None, None, None, None), (5, "other text under a used id", "en", "src2", 26),
-             (-7, rows[92][1], "en", "src3", 5)]
+             (-7, rows[92][1], "en", "src3", 5), (5000, "Привет мир это текст на русском языке", None, "src1", 37)]
     return [(*r, 1, "x", None, "big", 0.5, "y") for r in rows]
 
 
