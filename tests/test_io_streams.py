@@ -192,3 +192,12 @@ def test_writers_keep_earlier_data(spark, tmp_path):
         sk.write_sessions(log(turn, version), str(tmp_path / "s"))
     got = {(r["turn"], r["user_content"]) for r in spark.read.parquet(str(tmp_path / "s/turns")).collect()}
     assert got == {(0, "u01"), (1, "u12")}
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "events.parquet")
+    for name in ("documents", "events"):
+        out = jobs.run_to_folder(spark, jobs.read_table_events(spark, str(tmp_path), name, rows.schema), name)
+        assert spark.read.parquet(out).count() == 6
