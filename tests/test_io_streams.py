@@ -201,3 +201,13 @@ def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
     for name in ("documents", "events"):
         out = jobs.run_to_folder(spark, jobs.read_table_events(spark, str(tmp_path), name, rows.schema), name)
         assert spark.read.parquet(out).count() == 6
+
+
+def test_a_lot_arrives_in_as_many_files_as_its_table_has(spark, tmp_path, monkeypatch):
+    from lexweave.plans import streams
+    docs = spark.createDataFrame([(i, f"les eaux {i}\nun") for i in range(24)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "scratch_path", lambda s, label: str(tmp_path / label))
+    got = streams.stm6_batches(spark, str(tmp_path)).orderBy("batch").collect()
+    assert [tuple(r) for r in got] == [(n, 16, 8, 16 * (n + 1), 48, 8 * (n + 1)) for n in range(3)]
+    assert len(list((tmp_path / "arrivals").glob("*.parquet"))) > 3
