@@ -176,3 +176,28 @@ def test_stored_index_gives_the_same_scores(spark, tmp_path):
     assert scores(stored) == scores(docs)
     filled = lambda source: sorted(tuple(r) for r in rt.bm25_topk(source, queries, 3, zero_fill=True).collect())
     assert filled(stored) == filled(docs)
+
+
+def test_scores_are_summed_where_the_documents_lie(spark):
+    """Pairs of queries and documents do not move; a task's own best are all that can rank, ties and duplicate ids included."""
+    dice = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([("t", i % 290, " ".join(dice.choices(words, k=dice.randint(0, 12)))) for i in range(300)] + [("t", None, "w1 w2")],
+                                 "tenant string, doc_id long, text string").repartition(7)
+    queries = spark.createDataFrame([("t", f"q{i}", " ".join(dice.choices(words, k=5))) for i in range(9)], "tenant string, query_id string, text string")
+    whole = rt.bm25_scores(docs, queries)
+    assert "query_id" not in "".join(x for x in whole._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    n, terms = 301, {q["query_id"]: q["text"].split() for q in queries.collect()}
+    rows = [(r["doc_id"], r["text"].split()) for r in docs.collect()]
+    avg = sum(len(t) for _, t in rows) / n
+    pairs = {(i, w) for i, t in rows for w in t}
+    df = {w: sum(1 for i, t in {(i, tuple(t)) for i, t in rows} if w in t) for w in words}
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in whole.collect()}
+    single = [(i, t) for i, t in rows if i is not None and 10 <= i < 290]
+    for q, asked in terms.items():
+        for i, t in single:
+            want = sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / (avg + 1e-9))) for w in asked if w in t)
+            assert got.get((q, i), 0.0) == pytest.approx(want, abs=2e-6)
+    assert {i for _, i in got} <= {i for i, _ in pairs}
+    ranked = lambda scores: sorted((r["query_id"], r["rank"], str(r["item_id"]), r["score"]) for r in rt.rank_hits(scores, 4).collect())
+    assert ranked(rt.bm25_scores(docs, queries, best=4)) == ranked(whole)
