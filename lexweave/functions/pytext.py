@@ -76,8 +76,22 @@ def diff_spans(original: str, corrected: str) -> list[tuple[int, int, str, str]]
             if tag != "equal" and strip_edge(a[i1:i2]) != strip_edge(b[j1:j2])]
 
 
+def _shared(a: str, b: str, equal) -> int:
+    """The greatest n for which equal(n) holds; it holds up to there."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if equal(n) else (low, n - 1)
+    return low
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word per 64 characters (bit vectors)."""
+    # What both begin and end with is common; only the rest is searched.
+    head = _shared(a, b, lambda n: a[:n] == b[:n])
+    a, b = a[head:], b[head:]
+    tail = _shared(a, b, lambda n: a[len(a) - n:] == b[len(b) - n:])
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
@@ -86,7 +100,7 @@ def common_subsequence(a: str, b: str) -> int:
     for ch in b:
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return head + tail + len(a) - row.bit_count()
 
 
 def similarity(a: str, b: str) -> float:
@@ -97,6 +111,26 @@ def similarity(a: str, b: str) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def most_similar(text: str, others: list[tuple[int, str]], above: float) -> int | None:
+    """Of the others (number, text) the first of the greatest similarity, if that is above the bound.
+
+    Lengths bound a similarity, so those go first that can be most similar, and what cannot win is not compared.
+    """
+    size = len(strip_edge(text or ""))
+    reach = []
+    for j, other in others:
+        n = len(strip_edge(other or ""))
+        reach.append((min(size, n) / max(size, n, 1), -j, other))
+    best, found = above, None
+    for most, k, other in sorted(reach, key=lambda r: r[:2], reverse=True):
+        if most < best or (most == best and (found is None or k < found)):
+            continue
+        got = similarity(text, other)
+        if got > best or (found is not None and got == best and k > found):
+            best, found = got, k
+    return None if found is None else -found
+
+
 def pick_lines(rows: list[str], texts: list[str]) -> list[str | None]:
     """The row of each text: contained either way first, then the most similar above 0.3; each row once."""
     taken: dict[int, str] = {}
@@ -110,9 +144,9 @@ def pick_lines(rows: list[str], texts: list[str]) -> list[str | None]:
         else:
             taken[hit] = row
     for row in late:
-        best, j = max(((similarity(row, t), -j) for j, t in enumerate(texts) if j not in taken), default=(0.0, 0))
-        if best > 0.3:
-            taken[-j] = row
+        hit = most_similar(row, [(j, t) for j, t in enumerate(texts) if j not in taken], 0.3)
+        if hit is not None:
+            taken[hit] = row
     return [taken.get(j) for j in range(len(texts))]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
 from lexweave.functions.pytext import align_udf, diff_udf, match_udf, opcodes_udf, sub_segments_udf
-from lexweave.scale import cut, exploded, running
+from lexweave.scale import cut, exploded, running, spread
 
 CONTEXT = 8
 NO_ERROR = "无误"
@@ -76,7 +76,7 @@ def valid_span(start: Column, end: Column, original: Column, length: Column) ->
 def diff_spans(pairs: DataFrame) -> DataFrame:
     """pairs(..., original, corrected) -> one row per span: start, end, span_original, span_corrected."""
     keep = pairs.columns
-    changed = pairs.filter(F.col("original") != F.col("corrected"))
+    changed = spread(pairs.filter(F.col("original") != F.col("corrected")))
     return (exploded(changed, keep, diff_udf("original", "corrected"), "_s")
             .select(*keep, "_s.start", "_s.end", "_s.span_original", "_s.span_corrected"))
 
@@ -84,7 +84,7 @@ def diff_spans(pairs: DataFrame) -> DataFrame:
 def diff_steps(pairs: DataFrame) -> DataFrame:
     """pairs(..., original, corrected) -> one row per step (tag, i1, i2, j1, j2), equal stretches included."""
     keep = pairs.columns
-    return exploded(pairs, keep, opcodes_udf("original", "corrected"), "_s").select(*keep, "_s.*")
+    return exploded(spread(pairs), keep, opcodes_udf("original", "corrected"), "_s").select(*keep, "_s.*")
 
 
 def add_context(df: DataFrame, text: str, start: str, end: str, width: int = CONTEXT) -> DataFrame:
@@ -134,7 +134,7 @@ def align(lines: DataFrame, originals: DataFrame) -> DataFrame:
     """
     j = _batched(originals, "orig_no", ["text"], "o").join(_batched(lines, "line_no", ["text"], "l"), ["doc_id", "batch"], "left")
     none = F.array().cast("array<string>")
-    picked = j.withColumn("_p", align_udf(F.coalesce("l_text", none), "o_text"))
+    picked = spread(j).withColumn("_p", align_udf(F.coalesce("l_text", none), "o_text"))
     out = exploded(picked, ["doc_id", "batch"], F.arrays_zip("o_orig_no", "o_text", "_p"), "z")
     return out.select("doc_id", "batch", F.col("z.o_orig_no").alias("orig_no"), F.col("z.o_text").alias("original"),
                       F.coalesce("z._p", "z.o_text").alias("corrected"), F.col("z._p").isNotNull().alias("matched"))
@@ -151,7 +151,7 @@ def match_results(results: DataFrame, originals: DataFrame) -> DataFrame:
     j = _batched(originals, "orig_no", ["text"], "o").join(r, ["doc_id", "batch"], "full")
     none = F.array().cast("array<string>")
     texts = F.coalesce("o_text", none)
-    picked = j.select("doc_id", "batch", "r_res_no", "r_corrected", texts.alias("o_text"),
+    picked = spread(j).select("doc_id", "batch", "r_res_no", "r_corrected", texts.alias("o_text"),
                       match_udf(F.coalesce("r_original", none), F.coalesce("r_corrected", none), texts).alias("_p"))
     found = (exploded(picked, ["doc_id", "batch"], F.arrays_zip("r_res_no", "r_corrected", "_p"), "z")
              .select("doc_id", "batch", F.col("z.r_res_no").alias("res_no"), F.col("z._p").alias("original"), F.col("z.r_corrected").alias("corrected"))

@@ -194,3 +194,31 @@ def test_holdout_sizes(spark):
     df = spark.range(101).select("id", (F.col("id") < 100).alias("y"))
     got = {(r["y"], r["is_test"]): r["count"] for r in ev.holdout(df, "y", "id", 0.4).groupBy("y", "is_test").count().collect()}
     assert got == {(True, True): 40, (True, False): 60, (False, True): 1}
+
+
+def test_texts_are_compared_by_many_tasks(spark):
+    """However small in bytes the input is, and in however few partitions it comes."""
+    from lexweave.operators import spans as sp
+    pairs = spark.createDataFrame([(i, f"a station {i}", f"a stasion {i}") for i in range(40)], "doc_id long, original string, corrected string").coalesce(1)
+    changes = sp.diff_spans(pairs)
+    assert changes.rdd.getNumPartitions() == 8
+    assert {(r["doc_id"], r["start"], r["end"], r["span_corrected"]) for r in changes.collect()} == {(i, 5, 6, "s") for i in range(40)}
+    lines = pairs.select("doc_id", "doc_id", "corrected").toDF("doc_id", "batch", "text").selectExpr("doc_id", "batch", "0L line_no", "text")
+    originals = pairs.selectExpr("doc_id", "doc_id batch", "0L orig_no", "original text")
+    aligned = sp.align(lines, originals)
+    assert aligned.rdd.getNumPartitions() == 8
+    assert aligned.filter("matched").count() == 40
+
+
+def test_matching_blocks_are_those_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+    from lexweave.functions import diffing
+    dice = random.Random(7)
+    for _ in range(150):
+        a = "".join(dice.choices("eeeetttaaoinsrh  bkqx", k=dice.choice([0, 5, 80, 199, 230, 700])))
+        b = "".join(c for c in a if dice.random() > .02) + dice.choice(["", "kq"])
+        want = [tuple(m) for m in SequenceMatcher(None, a, b).get_matching_blocks()][:-1]
+        assert diffing.matching_blocks(a, b) == want
+        frequent = diffing.frequent_characters(b)
+        assert diffing.longest_in_short(a, b, 0, len(a), 0, len(b), frequent) == diffing.SuffixAutomaton(b, 0, len(b), frequent).longest(a, 0, len(a), frequent)
