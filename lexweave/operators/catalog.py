@@ -226,8 +226,9 @@ def catalog_scores(docs: DataFrame, queries: DataFrame, index: ix.Index | None =
     terms = cut(ix.query_terms(missed, tokens))
     if terms.isEmpty():
         return scored
-    loose = substring_hits(docs, terms, tokens).withColumn("score", F.lit(FALLBACK_SCORE))
-    return scored.unionByName(loose.select(*scored.columns))
+    # Read as often as the other hits: the texts are searched once.
+    loose = cut(substring_hits(docs, terms, tokens).withColumn("score", F.lit(FALLBACK_SCORE)).select(*scored.columns))
+    return scored.unionByName(loose)
 
 
 def coarse(docs: DataFrame, queries: DataFrame, dense: DataFrame, pool: int, index: ix.Index | None = None,

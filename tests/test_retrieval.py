@@ -201,3 +201,12 @@ def test_scores_are_summed_where_the_documents_lie(spark):
     assert {i for _, i in got} <= {i for i, _ in pairs}
     ranked = lambda scores: sorted((r["query_id"], r["rank"], str(r["item_id"]), r["score"]) for r in rt.rank_hits(scores, 4).collect())
     assert ranked(rt.bm25_scores(docs, queries, best=4)) == ranked(whole)
+
+
+def test_substring_hits_are_searched_once(spark):
+    """Whoever reads the catalog scores several times reads a written table, not the texts."""
+    docs = frame(spark, ["small anvil", "anvils"], "doc_id").withColumn("hay", F.col("text"))
+    scores = ct.catalog_scores(docs, frame(spark, ["nvil", "small"], "query_id"))
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert {(r["query_id"], r["item_id"]) for r in scores.filter("score = 0.1").collect()} == {(r["query_id"], r["item_id"]) for r in scores.filter("score = 0.1").distinct().collect()}
+    assert scores.filter("score = 0.1").count() == 2
