@@ -210,3 +210,29 @@ def test_substring_hits_are_searched_once(spark):
     assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
     assert {(r["query_id"], r["item_id"]) for r in scores.filter("score = 0.1").collect()} == {(r["query_id"], r["item_id"]) for r in scores.filter("score = 0.1").distinct().collect()}
     assert scores.filter("score = 0.1").count() == 2
+
+
+def test_index_counts_some_documents_at_a_time(spark, tmp_path, monkeypatch):
+    """No task holds all its postings; ids that come again, null ids, null texts and several tenants count as in one group by."""
+    dice = random.Random(2)
+    rows = [(dice.choice(["a", "b", None]), dice.choice([*range(20), None]), dice.choice([None, *(" ".join(dice.choices("uvwxyz", k=n)) for n in (0, 1, 4, 4, 9))])) for _ in range(150)]
+    docs = spark.createDataFrame(rows, "tenant string, doc_id long, text string")
+    ix.build_index(docs.repartition(3), str(tmp_path / "ix"))
+    stored, want = ix.open_index(spark, str(tmp_path / "ix")), {}
+    for tenant, doc, text in rows:
+        for term in text.split() if text is not None else []:
+            key = (tenant, doc, term, len(text.split()))
+            want[key] = want.get(key, 0) + 1
+    assert {(r["tenant"], r["doc_id"], r["term"], r["dl"]): r["tf"] for r in stored.postings.collect()} == want
+    assert stored.postings.count() == len(want)
+    lengths = {(t, d, len(x.split())) for t, d, x in rows if x is not None}
+    assert stored.docs.count() == len(lengths) and set(map(tuple, stored.docs.collect())) == lengths
+    frequent = {(t, w): sum(1 for k in want if k[0] == t and k[2] == w) for t, _, w, _ in want}
+    assert {(r["tenant"], r["term"]): r["df"] for r in stored.terms.collect()} == frequent
+    monkeypatch.setattr(ix, "COUNTED_TOKENS", 10)
+    ordered = docs.filter("text is not null").orderBy("tenant", "doc_id").withColumn("tokens", F.concat(F.regexp_replace("text", "(.) ?", "$1\x1f"))).select("tenant", "doc_id", "tokens").toArrow()
+    for size in (1, 7, 1000):
+        pieces = list(ix._count(iter(ordered.combine_chunks().to_batches(max_chunksize=size))))
+        assert len(pieces) > 10
+        got = [((r["tenant"], r["doc_id"], r["term"], r["dl"]), r["tf"]) for p in pieces for r in p.to_pylist() if r["term"]]
+        assert len(got) == len(want) and dict(got) == want
