@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.scale import bounded_broadcast, scratch_path
+from lexweave.scale import bounded_broadcast, release, staged  # noqa: F401  release: for the modules that import it from here
 
 _LOCAL = 33  # bits of monotonically_increasing_id that count rows inside a partition
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the checkpoint folder and read it back: lineage ends, lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, label)
-    # zstd works in pooled buffers; the default codec leaves off-heap buffers of every written file to the garbage collector.
-    df.write.option("compression", "zstd").parquet(path)
-    held = df.sparkSession.read.schema(df.schema).parquet(path)
-    held.staged_path = path
-    return held
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let Spark remove the shuffle files of finished steps.
-
-    Spark drops shuffle files when the driver's garbage collector finds their plans gone, which a roomy driver may not do
-    for a long time; a chain of many steps would keep the files of all of them until then.
-    """
-    for table in tables:
-        path = table.__dict__.pop("staged_path", None)
-        if path:
-            jvm = table.sparkSession.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
-
-
 def bases(totals: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """(key, name): the sum of `value` over all smaller keys; one row per partition of a table, hence one narrow window."""
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

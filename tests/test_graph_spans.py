@@ -1,6 +1,8 @@
 """Graph, span, layout and window operators against hand values and brute force."""
 
+import os
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -12,7 +14,13 @@ from lexweave.operators import graph as gr
 from lexweave.operators import layout as ly
 from lexweave.operators import spans as sp
 from lexweave.operators.lexicon import lexicon_issues
-from lexweave.scale import running
+from lexweave.scale import checkpoint_dir, running
+
+
+def stored(spark):
+    """Folders below the checkpoint folder, with their bytes."""
+    top = checkpoint_dir(spark).removeprefix("file:")
+    return {x: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(os.path.join(top, x)) for f in files) for x in os.listdir(top)}
 
 
 def model_pagerank(nodes, edges, rounds=200):
@@ -48,6 +56,43 @@ def test_clustering_two_triangles(spark):
     assert got == pytest.approx({"a": 1.0, "b": 1.0, "c": 2 * 2 / 12, "d": 1.0, "e": 1.0})
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_clustering_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(gr, "BROADCAST_LINKS", broadcast, raising=False)
+    rng = random.Random(4)
+    pairs = {(rng.randint(0, 11), rng.randint(0, 24)) for _ in range(110)}
+    rows = [(t, f"n{a}", f"n{b}", "r", 1.0) for t in ("t", "u", None) for a, b in pairs if t != "u" or (a + b) % 3] + [("t", None, "n1", "r", 1.0)]
+    e = spark.createDataFrame(rows, "tenant string, src string, dst string, relation string, weight double")
+    n = spark.createDataFrame([(t, f"n{i}") for t in ("t", "u", None) for i in range(26)], "tenant string, id string")
+    got = {(r["tenant"], r["id"]): (r["degree"], r["triangles"]) for r in gr.clustering(n, e).collect()}
+    assert len(got) == 78
+    for t in ("t", "u"):
+        near = {}
+        for x, a, b, *_ in rows:
+            if x == t and a and a != b:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        for i in (f"n{i}" for i in range(26)):
+            mine = near.get(i, set())
+            assert got[t, i] == (len(mine), sum(b in near[a] for a, b in combinations(mine, 2)))
+
+
+def test_clustering_stores_little(spark):
+    """What is stored stays below the links' own size."""
+    n, e, _ = graph_frames(spark, [(f"x{a}", f"h{b}", 1.0) for a in range(20) for b in range(400)])
+    before = stored(spark)
+    assert gr.clustering(n, e).agg(F.sum("triangles")).first()[0] == 0
+    assert sum(size for x, size in stored(spark).items() if x not in before) < 40_000
+
+
+def test_pagerank_keeps_one_state(spark):
+    n, e, _ = graph_frames(spark, [("USER", "a", 0.5), ("USER", "b", 1.5), ("a", "b", 1.0)])
+    before = stored(spark)
+    assert gr.pagerank(n, e, max_iter=8, tol=None).count() == 3
+    held = [x for x, size in stored(spark).items() if x not in before and not x.startswith("rdd-")]
+    assert len(held) == 1 and held[0].startswith("ranks-")
+
+
 def test_graph_build_last_wins_and_defaults(spark):
     rel = spark.createDataFrame([("t", "USER", "x", "r1", 0.9, 0), ("t", "USER", "x", "r2", None, 1), ("t", "x", "y", "r", 1.0, 2)],
                                 "tenant string, src string, dst string, relation string, weight double, ord int")

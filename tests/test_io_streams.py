@@ -104,6 +104,8 @@ def test_profiles(spark, tmp_path):
     stat = spark.createDataFrame([("t", 2)], "tenant string, total_nodes int")
     sk.write_profiles(nodes, edges, pref, stat, str(tmp_path / "p"))
     assert sorted(r["kind"] for r in spark.read.json(str(tmp_path / "p")).collect()) == ["edge", "node", "preferences", "statistics"]
+    files = list((tmp_path / "p" / "tenant=t").glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
 
 
 def test_registrations_are_settled_in_order(spark):
