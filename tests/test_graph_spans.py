@@ -202,6 +202,49 @@ def test_remove_unreferenced_follows_chains(spark):
     assert got == {("b", 1), ("c", 2), ("d", 3)}
 
 
+def model_cleanup(files, refs):
+    alive, out, n = list(files), [], 0
+    while True:
+        n += 1
+        met = {(p, t) for p, _, t in refs}
+        gone = [(p, x) for p, x, removable in alive if removable and (p, x) not in met]
+        if not gone:
+            return out
+        out += [(*g, n) for g in gone]
+        alive = [a for a in alive if a[:2] not in gone]
+        refs = [r for r in refs if r[:2] not in gone]
+
+
+def test_remove_unreferenced_against_rounds(spark):
+    """Repeated files, files that may go once and may stay once, loops, references of what is no file, and missing values."""
+    rng = random.Random(7)
+    files = [(p, f"f{i}", rng.choice([True, True, True, False, None])) for p in "pq" for i in range(60) for _ in range(rng.choice([1, 1, 2]))]
+    refs = [(rng.choice("pq"), rng.choice([f"f{rng.randint(0, 59)}", "other", None] + [f"f{rng.randint(0, 59)}"] * 20), f"f{rng.randint(0, 59)}") for _ in range(110)]
+    refs += [("p", "f3", "f3"), (None, "f1", "f2"), ("p", "f5", None), ("q", "f4", "missing"), ("p", "f6", "mailto:f7")]
+    f = spark.createDataFrame(files, "package string, path string, removable boolean")
+    r = spark.createDataFrame(refs, "package string, source_path string, target_path string")
+    got = [tuple(x) for x in ly.remove_unreferenced(f, r).select("package", "path", "round").collect()]
+    want = model_cleanup(files, refs)
+    assert sorted(got) == sorted(want) and max(n for *_, n in want) > 2
+
+
+def test_remove_unreferenced_stores_no_references_of_others(spark):
+    """References of what never goes are read, not written in every round."""
+    files = spark.createDataFrame([("p", f"f{i}", True) for i in range(8)], "package string, path string, removable boolean")
+    chain = spark.createDataFrame([("p", f"f{i}", f"f{i + 1}") for i in range(5)], "package string, source_path string, target_path string")
+    refs = chain.unionByName(spark.range(50_000).select(F.lit("p").alias("package"), F.sha2(F.col("id").cast("string"), 256).alias("source_path"), F.lit("f7").alias("target_path")))
+    before = stored(spark)
+    got = {(r["path"], r["round"]) for r in ly.remove_unreferenced(files, refs).collect()}
+    assert got == {("f6", 1)} | {(f"f{i}", i + 1) for i in range(6)}
+    assert sum(size for x, size in stored(spark).items() if x not in before) < 100_000
+
+
+def test_remove_unreferenced_takes_a_file_without_path_once(spark):
+    files = spark.createDataFrame([("p", None, True), (None, "a", True), ("p", "b", True)], "package string, path string, removable boolean")
+    refs = spark.createDataFrame([("p", "x", "b"), (None, "x", "a")], "package string, source_path string, target_path string")
+    assert sorted(((r["package"], r["path"], r["round"]) for r in ly.remove_unreferenced(files, refs).collect()), key=repr) == sorted([("p", None, 1), (None, "a", 1)], key=repr)
+
+
 @pytest.mark.parametrize("step", [0.3, 1.5])
 def test_near_duplicates_against_scan(spark, step):
     rng = np.random.default_rng(2)
