@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import rag_tokens, token_count
-from lexweave.scale import bounded_broadcast, cut, exploded, spread
+from lexweave.scale import bounded_broadcast, cut, exploded, release, spread
 
 BROADCAST_TERMS = 500_000
 # Tokens that a task of the index counts at a time; documents are not split.
@@ -159,9 +159,11 @@ def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = rag_tokens) -
     tokens = rows.select("tenant", "doc_id", F.array_join(F.concat(tokenizer(F.col("text")), F.array(F.lit(DOCUMENT_ROW))), SEPARATOR).alias("tokens"))
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("tenant", "doc_id")]
     tokens.mapInArrow(_count, ", ".join([*kinds, "term string", "dl bigint", "tf bigint"])).write.mode("overwrite").parquet(f"{path}/rows")
+    release(tokens)
     stored = spark.read.parquet(f"{path}/rows")
     term_stats(stored.filter(F.col("term") != DOCUMENT_ROW)).write.mode("overwrite").parquet(f"{path}/terms")
     corpus_stats(stored.filter(F.col("term") == DOCUMENT_ROW)).write.mode("overwrite").parquet(f"{path}/corpus")
+    release(stored)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

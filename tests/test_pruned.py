@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.functions.vectors import vector_topk
 from lexweave.operators import blocks as bk
@@ -49,6 +50,29 @@ def test_pruned_bm25_scores_fewer_postings(corpus):
     assert sum(r["postings_scored"] for r in report.values()) < 0.8 * sum(r["postings"] for r in report.values())
 
 
+def test_blocks_move_postings_once(spark, tmp_path, monkeypatch):
+    """Equal lengths by the hundred and a range of many batches; a file holds whole ranges, in order."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([("t", i, " ".join(f"w{rng.randint(0, 40)}" for _ in range(5 if i % 3 else i % 17))) for i in range(600)], ROWS).repartition(4)
+    queries = spark.createDataFrame([("t", 1, "w1 w2 w3"), ("t", 2, "w40")], "tenant string, query_id int, text string")
+    ix.build_index(docs, f"{tmp_path}/index")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        bk.build_blocks(ix.open_index(spark, f"{tmp_path}/index"), f"{tmp_path}/blocks", range_docs=16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = bk.open_blocks(spark, f"{tmp_path}/blocks")
+    assert held.blocks.groupBy("tenant", "term", "range").count().filter("count > 1").count() == 0
+    entries = held.blocks.select("tenant", "term", "range", "most", F.explode("entries").alias("e")).select("*", "e.*")
+    assert entries.count() == ix.postings(docs).count()
+    assert entries.groupBy("tenant", "term", "range").agg(F.max("impact").alias("top"), F.first("most").alias("most")).filter("top <> most").count() == 0
+    files = held.blocks.select("range", F.input_file_name().alias("file")).distinct().groupBy("range").count()
+    assert files.filter("count > 1").count() == 0 and files.count() >= 30
+    for bound in (0, 500_000):
+        monkeypatch.setattr(ix, "BROADCAST_TERMS", bound)
+        same(bk.pruned_topk(held, queries, 5, rounds=(2,))[0], rt.bm25_topk(docs, queries, 5))
+
+
 def clustered(spark, n, seed=2):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, 5)) * 20
