@@ -93,6 +93,22 @@ def test_a_batch_reads_its_own_buckets(spark, tmp_path):
     assert terms["oak"] == 199 and terms["elm"] == 1 and "w7" not in terms
 
 
+def test_postings_stay_where_they_lie(spark, tmp_path):
+    """What is replaced is sent to the postings, also where Spark would not broadcast of its own."""
+    path = str(tmp_path)
+    put(spark, path, 0, [("t", i, f"oak w{i}") for i in range(40)])
+    put(spark, path, 1, [("t", 7, "elm"), ("t", 8, None)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = sg.rows_of(spark, path, sg.live_segments(spark, path), "postings")
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        terms = {r["term"] for r in held.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {"w7", "w8"}.isdisjoint(terms) and {"w6", "w9", "elm"} <= terms
+
+
 def test_everything_deleted_and_empty_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sg, "TIER", 2)
     path = str(tmp_path)
